@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm.chat import digest, format_windows
+from ferrule.llm.near_dup import near_duplicates
 from ferrule.llm.sources import table, vocabulary
 from ferrule.llm.token_counts import token_counts
 from ferrule.llm.topk import exact_top_k, whole_vectors
 
 
+def op2_bagminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, whose texts are control strings of other templates."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -35,7 +40,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op2_bagminhash_near_dup, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
