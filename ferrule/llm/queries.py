@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.chat import digest, format_windows
 from ferrule.llm.near_dup import near_duplicates
+from ferrule.llm.quality import quality_scores
 from ferrule.llm.sources import table, vocabulary
 from ferrule.llm.token_counts import token_counts
 from ferrule.llm.topk import exact_top_k, whole_vectors
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bagminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bagminhash_near_dup, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
