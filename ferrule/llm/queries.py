@@ -11,6 +11,7 @@ from ferrule.llm.chat import digest, format_windows
 from ferrule.llm.near_dup import near_duplicates
 from ferrule.llm.quality import quality_scores
 from ferrule.llm.sources import table, vocabulary
+from ferrule.llm.suffix_dedup import remove_repeats
 from ferrule.llm.token_counts import token_counts
 from ferrule.llm.topk import exact_top_k, whole_vectors
 
@@ -23,6 +24,10 @@ def op2_bagminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, whose texts are control strings of other templates."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -45,7 +50,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op4_suffix_dedup, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
