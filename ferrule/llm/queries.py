@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule.llm.chat import digest, format_windows
+from ferrule.llm.fingerprints import next_fingerprints
 from ferrule.llm.near_dup import near_duplicates
 from ferrule.llm.quality import quality_scores
 from ferrule.llm.sources import table, vocabulary
@@ -28,6 +29,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return next_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, whose texts are control strings of other templates."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -50,7 +55,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op4_suffix_dedup, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op4_suffix_dedup, op5_lz_fingerprints, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
