@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.chat import digest, format_windows
 from ferrule.llm.fingerprints import next_fingerprints
 from ferrule.llm.near_dup import near_duplicates
+from ferrule.llm.packing import pack
 from ferrule.llm.quality import quality_scores
 from ferrule.llm.sources import table, vocabulary
 from ferrule.llm.suffix_dedup import remove_repeats
@@ -33,6 +34,11 @@ def op5_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one more, whose texts are control strings of other templates."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -55,7 +61,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op4_suffix_dedup, op5_lz_fingerprints, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op4_suffix_dedup, op5_lz_fingerprints, op6_retrieval_packing, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
