@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.chat import digest, format_windows
 from ferrule.llm.fingerprints import next_fingerprints
+from ferrule.llm.html_text import extract
 from ferrule.llm.near_dup import near_duplicates
 from ferrule.llm.packing import pack
 from ferrule.llm.quality import quality_scores
@@ -51,6 +52,10 @@ def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_windows(turns.unionByName(odd)))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -61,7 +66,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op4_suffix_dedup, op5_lz_fingerprints, op6_retrieval_packing, op7_chat_windows, op9_token_counts, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op4_suffix_dedup, op5_lz_fingerprints, op6_retrieval_packing, op7_chat_windows, op8_html_text, op9_token_counts, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
