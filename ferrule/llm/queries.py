@@ -12,6 +12,7 @@ from ferrule.llm.fingerprints import next_fingerprints
 from ferrule.llm.html_text import extract
 from ferrule.llm.near_dup import near_duplicates
 from ferrule.llm.packing import pack
+from ferrule.llm.piece_encoding import decode, encode
 from ferrule.llm.quality import quality_scores
 from ferrule.llm.sources import table, vocabulary
 from ferrule.llm.suffix_dedup import remove_repeats
@@ -27,6 +28,19 @@ def op2_bagminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and digests of what they decode to."""
+    model = vocabulary("piece_bpe_32k.model")
+    texts = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return texts.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -66,7 +80,7 @@ def op10_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op4_suffix_dedup, op5_lz_fingerprints, op6_retrieval_packing, op7_chat_windows, op8_html_text, op9_token_counts, op10_threshold_top_k)}
+    return {f.__name__: f for f in (op1_quality, op2_bagminhash_near_dup, op3_sentencepiece, op4_suffix_dedup, op5_lz_fingerprints, op6_retrieval_packing, op7_chat_windows, op8_html_text, op9_token_counts, op10_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
