@@ -18,7 +18,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm.bagminhash import signatures
@@ -139,3 +139,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     classes = named.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("class_id"), F.count("*").alias("copies"))
     rows_out = classes.select("doc_id", "class_id", F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("x")).drop("x")
     return rows_out.unionByName(signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+
+
+def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row of ``docs`` (doc_id, text and whatever else) of each class: that of its smallest doc_id.
+
+    Of repeated rows of that id the one of smallest text stays.  Rows of a null doc_id have no class and stay.
+    """
+    classes = near_duplicates(docs, threshold)
+    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    named = kept.where("doc_id is not null").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return named.unionByName(docs.where("doc_id is null"))

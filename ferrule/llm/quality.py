@@ -195,3 +195,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample_
 
     rows = d.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), text_of(F.col("text")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample_rows: int = 3000) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and whatever else) that score ``cut`` or more, as they are.
+
+    Scores as in ``quality_scores``; nothing is shuffled.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(features(t.as_py() or "")) >= cut for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

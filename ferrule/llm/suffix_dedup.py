@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ferrule.llm.columns import pick, text_of
+from ferrule.llm.columns import text_of
 from ferrule.llm.hashing import Spans, in_chunks, joined
 from ferrule.llm.store import keep
 from ferrule.llm.suffixes import anchors, repeats
@@ -184,8 +185,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(text), sum(e - s for s, e in spans), len(spans), sha256(b"".join(left)).hexdigest(), b"".join(whole).decode("utf-8", "surrogatepass")))
         n, gone, runs, digest, kept = list(zip(*out)) or [[]] * 5
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string()), *b.columns[3:]],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *b.schema.names[3:]],
         )
 
 
@@ -220,18 +221,22 @@ def repeated_spans(docs: DataFrame, size: int = 200, hot: int = 2000) -> DataFra
     return spans.groupBy("did", "dk").agg(F.collect_set("span").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, hot: int = 2000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of what is left) and kept, for every
-    row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, size: int = 200, hot: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of what is left), kept, and the
+    columns named in ``carry`` as they are, for every row of ``docs`` (doc_id, text).
 
     Texts are judged as UTF-8 bytes, on the input, and matches never cross documents; overlapping matches count.
     ``kept`` is text, so a character that is removed in part stays in it whole; kept_sha256 is of the very bytes.
     Null text is empty.  Every row is a document of its own, also a repeated one or one without an id: equal
-    texts of ``size`` bytes or more remove each other.  Shorter texts stay as they are.  Extra columns are
+    texts of ``size`` bytes or more remove each other.  Shorter texts stay as they are.  Other columns are
     ignored; an empty table gives an empty result.
     """
-    d = pick(docs, doc_id="long", text="string").withColumn("text", text_of(F.col("text")))
-    d = d.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("dk"), "text")
-    spans = repeated_spans(d.drop("doc_id"), size, hot)
-    both = d.join(spans, ["did", "dk"], "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    kinds = {c: docs.schema[c].dataType for c in carry}
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"].cast("string")).alias("text"), F.struct(*[docs[c] for c in carry]).alias("more") if carry else F.lit(None).alias("more"))
+    d = d.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("dk"), "text", "more")
+    spans = repeated_spans(d.select("did", "dk", "text"), size, hot)
+    both = d.join(spans, ["did", "dk"], "left").select("doc_id", "text", "spans", *[F.col(f"more.{c}").alias(c) for c in carry])
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    for c, kind in kinds.items():
+        schema = schema.add(c, kind)
+    return both.mapInArrow(_cut, schema)
