@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ferrule.llm import oracles
 from ferrule.llm.chat import digest, format_windows
 from ferrule.llm.fingerprints import next_fingerprints
 from ferrule.llm.html_text import extract
@@ -84,4 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_bagminhash_near_dup": oracles.OP2,
+        "op4_suffix_dedup": oracles.OP4,
+        "op7_chat_windows": oracles.OP7,
+        "op10_threshold_top_k": oracles.OP10,
+    }
