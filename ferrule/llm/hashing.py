@@ -70,3 +70,11 @@ def in_chunks(sizes: list[int], limit: int):
         total += n
     if begin < len(sizes):
         yield slice(begin, len(sizes))
+
+
+def text_parts(column, limit: int):
+    """(slice, UTF-8 texts) over an Arrow column of strings without nulls, of about ``limit`` bytes each."""
+    import pyarrow.compute as pc
+
+    for part in in_chunks(pc.binary_length(column).to_pylist(), limit):
+        yield part, [t.as_buffer().to_pybytes() for t in column[part.start : part.stop]]

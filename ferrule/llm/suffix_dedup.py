@@ -25,29 +25,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm.columns import text_of
-from ferrule.llm.hashing import Spans, in_chunks, joined
-from ferrule.llm.store import keep
+from ferrule.llm.hashing import Spans, joined, text_parts
+from ferrule.llm.store import drop, keep
 from ferrule.llm.suffixes import anchors, repeats
 
 #: Bytes of text searched for anchors at once, and of contexts sorted at once.
-CHUNK = 1 << 20
-SORTED = 1 << 19
+CHUNK = 1 << 19
+SORTED = 1 << 18
 #: Contexts that a task remembers to have sent.
 REMEMBERED = 200_000
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in column.to_pylist()]
-
-
 def _anchors_of(size: int, per_document: bool):
     """Rows of (h, dk) for each document's distinct anchors, or of (h, n, docs) summed over a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, keys = _texts(b.column(1)), b.column(0).to_numpy()
-            for part in in_chunks([len(t) for t in texts], CHUNK):
-                doc, _, _, h = anchors(*joined(texts[part]), size)
+            keys = b.column(0).to_numpy()
+            for part, texts in text_parts(b.column(1), CHUNK):
+                doc, _, _, h = anchors(*joined(texts), size)
                 pairs, n = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1, return_counts=True) if len(h) else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
                 each = pairs[0].astype(np.int64)
                 if per_document:
@@ -70,10 +66,9 @@ def _contexts_of(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[bytes, int] = {}
         for b in batches:
-            texts = _texts(b.column(2))
-            for part in in_chunks([len(t) for t in texts], CHUNK):
-                data, bounds = joined(texts[part])
-                raw = data.tobytes()
+            for part, texts in text_parts(b.column(2), CHUNK):
+                raw = b"".join(texts)
+                data, bounds = joined(texts)
                 doc, first, n, h = anchors(data, bounds, size)
                 spans = None
                 out: list[tuple] = []
@@ -153,9 +148,10 @@ def _find(size: int):
     return run
 
 
-def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+def _merged(hits: list[dict] | None, size: int) -> list[tuple[int, int]]:
+    """The bytes that repeated windows cover, as runs: from where contexts start and which of their windows repeat."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted(zip(starts, ends)):
+    for s, e in sorted((at + r[i], at + r[i + 1] - 1 + size) for x in hits or [] for r in [x["runs"]] for at in x["starts"] for i in range(0, len(r), 2)):
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -163,37 +159,44 @@ def _merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for text, spans in zip(_texts(b.column(1)), b.column(2).to_pylist()):
-            spans = _merged([x["s"] for x in spans or []], [x["e"] for x in spans or []])
-            at, left = 0, []
-            for s, e in spans:
-                left.append(text[at:s])
-                at = e
-            left.append(text[at:])
-            whole, keep_at = [], 0
-            for s, e in spans:  # for text: only characters that are covered in full
-                while s < len(text) and s < e and text[s] & 0xC0 == 0x80:
-                    s += 1
-                while e < len(text) and e > s and text[e] & 0xC0 == 0x80:
-                    e -= 1
-                whole.append(text[keep_at:s])
-                keep_at = e
-            whole.append(text[keep_at:])
-            out.append((len(text), sum(e - s for s, e in spans), len(spans), sha256(b"".join(left)).hexdigest(), b"".join(whole).decode("utf-8", "surrogatepass")))
-        n, gone, runs, digest, kept = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string()), *b.columns[3:]],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *b.schema.names[3:]],
-        )
+def _cut(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, texts in text_parts(b.column(1), CHUNK):
+                out = [_without(text, _merged(hits.as_py(), size)) for text, hits in zip(texts, b.column(2)[part.start : part.stop])]
+                cols = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
+                rest = b.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays(
+                    [rest.column(0), *cols, *rest.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *b.schema.names[3:]]
+                )
+
+    return run
+
+
+def _without(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, int, str, str]:
+    at, left = 0, []
+    for s, e in spans:
+        left.append(text[at:s])
+        at = e
+    left.append(text[at:])
+    at, whole = 0, []
+    for s, e in spans:  # for text: only characters that are covered in full
+        while s < len(text) and s < e and text[s] & 0xC0 == 0x80:
+            s += 1
+        while e < len(text) and e > s and text[e] & 0xC0 == 0x80:
+            e -= 1
+        whole.append(text[at:s])
+        at = e
+    whole.append(text[at:])
+    kept = b"".join(whole).decode("utf-8", "replace")
+    return len(text), sum(e - s for s, e in spans), len(spans), sha256(b"".join(left)).hexdigest(), kept
 
 
 def repeated_spans(docs: DataFrame, size: int = 200, hot: int = 2000) -> DataFrame:
-    """did, dk, spans (array of s, e: bytes) of the documents of ``docs`` (did, dk, text) with repeated windows.
+    """did, dk, hits (array of starts, runs) of the documents of ``docs`` (did, dk, text) with repeated windows.
 
-    did and dk name a document: its id, and a hash of id and text.
+    did and dk name a document: its id, and a hash of id and text.  A hit is a context: the bytes at which it starts in
+    the document, and begin and end of each run of its windows that repeat.
     """
     texts = docs.where(F.octet_length("text") >= size)
     keyed = texts.select("dk", "text")
@@ -203,22 +206,20 @@ def repeated_spans(docs: DataFrame, size: int = 200, hot: int = 2000) -> DataFra
     wanted = pairs.groupBy("dk").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     some = texts.join(wanted, "dk").select("did", "dk", "text", "wanted", "hot")
     runs = keep(some.mapInArrow(_contexts_of(size), _RUNS), "contexts")
+    drop(common)
 
     cold = runs.where("said and windows is null").select("h", "c1", "c2", "body")
     n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = cold.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(_find(size), "c1 long, c2 long, runs array<int>")
-    found = found.select("c1", "c2", F.posexplode("runs").alias("k", "at"))
-    # runs come as begin, end, begin, end, ...
-    found = found.groupBy("c1", "c2", F.floor(F.col("k") / 2).alias("k")).agg(F.min("at").alias("s"), F.max("at").alias("e")).drop("k")
 
     windows = runs.where("said and windows is not null").select("c1", "c2", "h", F.posexplode("windows").alias("at", "w"))
     twice = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    busy = windows.join(twice, ["h", "w"]).select("c1", "c2", F.col("at").alias("s"), (F.col("at") + 1).alias("e")).distinct()
+    busy = windows.join(twice, ["h", "w"]).groupBy("c1", "c2").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    busy = busy.select("c1", "c2", F.flatten(F.transform("at", lambda x: F.array(x, x + 1))).alias("runs"))
 
     where = runs.where("size(starts) > 0").select("did", "dk", "c1", "c2", "starts")
-    hits = where.join(found.unionByName(busy), ["c1", "c2"]).select("did", "dk", F.explode("starts").alias("at"), "s", "e")
-    spans = hits.select("did", "dk", F.struct((F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e") - 1 + size).alias("e")).alias("span"))
-    return spans.groupBy("did", "dk").agg(F.collect_set("span").alias("spans"))
+    hits = where.join(found.unionByName(busy), ["c1", "c2"]).select("did", "dk", F.struct("starts", "runs").alias("hit"))
+    return hits.groupBy("did", "dk").agg(F.collect_list("hit").alias("hits"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 200, hot: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -235,8 +236,8 @@ def remove_repeats(docs: DataFrame, size: int = 200, hot: int = 2000, carry: tup
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs["text"].cast("string")).alias("text"), F.struct(*[docs[c] for c in carry]).alias("more") if carry else F.lit(None).alias("more"))
     d = d.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("did"), F.xxhash64("doc_id", "text").alias("dk"), "text", "more")
     spans = repeated_spans(d.select("did", "dk", "text"), size, hot)
-    both = d.join(spans, ["did", "dk"], "left").select("doc_id", "text", "spans", *[F.col(f"more.{c}").alias(c) for c in carry])
+    both = d.join(spans, ["did", "dk"], "left").select("doc_id", "text", "hits", *[F.col(f"more.{c}").alias(c) for c in carry])
     schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     for c, kind in kinds.items():
         schema = schema.add(c, kind)
-    return both.mapInArrow(_cut, schema)
+    return both.mapInArrow(_cut(size), schema)
