@@ -8,22 +8,26 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
 
 
-#: What str.split() takes for white space and the library does not.
-_NO_SPACE = "\x1c\x1d\x1e\x1f"
+#: Finds what str.split() takes for white space and the library does not.
+_ODD = re.compile("[\x1c-\x1f]").search
+
+
+_LATIN = "\u0250"
 
 
 class WordTokens:
     """Encodes texts as arrays of 16-bit ids."""
 
-    def __init__(self, path: str, cache_size: int = 250_000):
+    def __init__(self, path: str, cache_size: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -39,6 +43,10 @@ class WordTokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # the same model over pieces that are normal and split already
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.split = regex.compile(pre[0]["pattern"]["Regex"]).findall
         self.spaces = regex.compile(r"\S+").findall
         self.closes = np.zeros(self.size, bool)
@@ -50,54 +58,52 @@ class WordTokens:
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _pieces(self, word: str) -> list[str]:
-        if word.isalpha():
-            return [word]
-        if word[-1] in ",.;:!?" and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return self.split(word)
-
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words that the cache misses."""
-        parts = [self._pieces(w) for w in words]
+        split = self.split
+        parts = [(w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in ",.;:!?" and w[:-1].isalpha() else split(w) for w in words]
         if len(self.pieces) > self.cache_size:
             self.pieces = {}
         pieces = self.pieces
         new = list({p for ps in parts for p in ps if p not in pieces})
-        for at in range(0, len(new), 400):
-            some = new[at : at + 400]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
+        # beyond Latin the library's own tables of characters decide what a piece is
+        usual = [p for p in new if p.isascii() or max(p) < _LATIN]
+        for p in set(new).difference(usual) if len(usual) < len(new) else ():
+            pieces[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, np.uint16).tobytes()
+        for at in range(0, len(usual), 400):
+            some = usual[at : at + 400]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint16)
             ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                raw = ids.tobytes()
-                pieces.update(zip(some, [raw[2 * a : 2 * b] for a, b in zip([0, *ends], ends)]))
-            else:  # a piece that splits again, or is no piece alone
-                for p in some:
-                    pieces[p] = np.array(self.library.encode(p, add_special_tokens=False).ids, np.uint16).tobytes()
+            raw = ids.tobytes()
+            pieces.update(zip(some, [raw[2 * a : 2 * b] for a, b in zip([0, *ends], ends)], strict=True))
         return {w: pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps]) for w, ps in zip(words, parts)}
 
     def _look_up(self, texts: list[str]) -> list[bytes]:
         """Ids of texts without special strings."""
-        split = []
+        split, found, missing = [], [], set()
+        get = self.words.get
         for t in texts:
             if not unicodedata.is_normalized("NFC", t):
                 t = unicodedata.normalize("NFC", t)
-            # the library lowers each character alone, without a form for the end of a word
-            t = t.replace("Σ", "σ").lower()
-            split.append(self.spaces(t) if any(c in t for c in _NO_SPACE) else t.split())
-        words, older, here = self.words, self.older, set().union(*split)
-        missing = [w for w in here if w not in words]
-        if missing:
-            fresh = {w: older[w] for w in missing if w in older}
-            fresh |= self._learn([w for w in missing if w not in fresh])
-            if len(words) + len(fresh) > self.cache_size:
-                self.older = words
-                self.words = {w: words[w] for w in here if w in words} | fresh
-            else:
-                words.update(fresh)
-            words = self.words
-        get = words.__getitem__
-        return [b"".join([get(w) for w in part]) for part in split]
+            if "Σ" in t:  # the library lowers each character alone, without a form for the end of a word
+                t = t.replace("Σ", "σ")
+            t = t.lower()
+            part = self.spaces(t) if _ODD(t) else t.split()
+            ids = list(map(get, part))
+            if None in ids:
+                missing.update([w for w, x in zip(part, ids) if x is None])
+            split.append(part)
+            found.append(ids)
+        if not missing:
+            return [b"".join(ids) for ids in found]
+        older = self.older
+        fresh = {w: older[w] for w in missing if w in older}
+        fresh |= self._learn([w for w in missing if w not in fresh])
+        if len(self.words) + len(fresh) > self.cache_size:
+            self.older, self.words = self.words, fresh
+        else:
+            self.words.update(fresh)
+        return [b"".join([fresh[w] if x is None else x for w, x in zip(part, ids)]) for part, ids in zip(split, found)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 16-bit numbers of the machine's byte order; special strings count as their tokens."""
