@@ -2,13 +2,14 @@
 
 1. Texts equal up to case and white space are merged first; the smallest doc_id stands for them.
 2. Signatures of the multisets of five-word shingles are cut into bands; equal bands share a bucket.
-3. In a bucket everything is compared with one leader, its smallest member, never all with all.  Members within
-   the threshold join the leader.  The others go on to the next round with a leader of their own, together with
-   those members that could still be near one of them: weighted Jaccard distance is a metric, so a member at
-   distance x of the leader and one at distance y are at least |x - y| apart.  No link inside a bucket is lost:
-   it is compared, excluded by that bound, or its two ends are linked through a leader already.
-4. After ``rounds`` rounds what is left in a bucket is compared pair by pair.
-5. Links of at least the threshold are joined to classes.
+3. In a bucket everything is compared with one leader, never all with all: the member whose buckets are fullest,
+   which in a group of copies is the text they were copied from.  Members within the threshold are linked to it.
+4. A link between two other members, one of them below the threshold, needs differences from the leader that the
+   two share: with v = L - X + Y for both, their overlap is |L| - |Xv| - |Xw| + |Xv & Xw| + |Yv & Yw|, and without
+   the last two terms no pair is nearer than its farther half is to the leader.  So such members are compared by
+   their differences alone, in blocks of one leader, through an index of differences.  That is exact; only links
+   that join something new inside a block leave it.
+5. Links are joined to classes.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from ferrule.llm.bagminhash import signatures
 from ferrule.llm.columns import pick, text_of
 from ferrule.llm.components import components
-from ferrule.llm.hashing import Spans, in_chunks, mix
+from ferrule.llm.hashing import Spans, mix, ranges, text_parts
 from ferrule.llm.shingles import bags, normal, shingle_hashes
-from ferrule.llm.store import keep
+from ferrule.llm.store import drop, keep
 
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
@@ -47,9 +48,8 @@ def bands_of(texts: list[bytes], bands: int, rows: int) -> list[np.ndarray]:
 def _sign(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [normal(t) for t in b.column(1).to_pylist()]
-            for part in in_chunks([len(t) for t in texts], CHUNK):
-                own = texts[part]
+            for part, texts in text_parts(b.column(1), CHUNK):
+                own = [normal(t.decode("utf-8", "replace")) for t in texts]
                 keys = np.array([np.frombuffer(blake2b(t, digest_size=16).digest(), np.int64) for t in own]).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0)[part.start : part.stop], pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(bands_of(own, bands, rows), pa.list_(pa.int64()))],
@@ -66,73 +66,146 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return common / (int(x[1].sum()) + int(y[1].sum()) - common)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def differences(x: Bag, lead: Bag) -> tuple[int, int, np.ndarray]:
+    """How many elements of the leader's bag are missing in x, how many x has beyond it, and a name for each."""
+    names = np.union1d(x[0], lead[0])
+    more = np.zeros(len(names), np.int64)
+    more[np.searchsorted(names, x[0])] += x[1]
+    more[np.searchsorted(names, lead[0])] -= lead[1]
+    at = np.flatnonzero(more)
+    nth = ranges(np.zeros(len(at), np.int64), np.abs(more[at])).astype(np.uint64)
+    sign = np.repeat((more[at] > 0).astype(np.uint64), np.abs(more[at]))
+    each = np.repeat(names[at], np.abs(more[at]))
+    return int(-more[more < 0].sum()), int(more[more > 0].sum()), mix(each + (nth * np.uint64(2) + sign) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_COMPARED = "node long, lead long, sim double, size long, missing long, beyond long, names binary"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members with their leaders: similarity, the leader's size, and the differences."""
     for b in batches:
-        known: dict[int, tuple] = {}
+        known: dict[int, Bag] = {}
 
-        def bag(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+        def bag(node: int, text: str) -> Bag:
             if node not in known:
                 if len(known) >= 256:
                     known.clear()
                 known[node] = bags(*shingle_hashes([normal(text)]))[:2]
             return known[node]
 
-        out = [similarity(bag(n, t1), bag(m, t2)) for n, m, t1, t2 in zip(*(c.to_pylist() for c in b.columns))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["node", "lead", "sim"])
+        out = []
+        for node, lead, t1, t2 in zip(*(c.to_pylist() for c in b.columns)):
+            other = bag(lead, t2)
+            size = int(other[1].sum())
+            missing, beyond, names = differences(bag(node, t1), other)
+            out.append((node, lead, (size - missing) / (size + beyond), size, missing, beyond, names.tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [[]] * 7, kinds)], [c.split()[0] for c in _COMPARED.split(", ")])
+
+
+def links_in_block(nodes: list[int], far: list[bool], size: int, missing: np.ndarray, beyond: np.ndarray, names: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links between members of a block that are not both near the leader."""
+    n = len(nodes)
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    every = np.concatenate(names)
+    owner = np.repeat(np.arange(n), [len(x) for x in names])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    total = size - missing + beyond
+    out = []
+    for v in range(n):
+        if not far[v] or not len(names[v]):
+            continue
+        low, high = np.searchsorted(every, names[v], "left"), np.searchsorted(every, names[v], "right")
+        shared = np.bincount(owner[ranges(low, high - low)], minlength=n)
+        common = size - missing[v] - missing + shared
+        for w in np.flatnonzero(common >= threshold * (total[v] + total - common)).tolist():
+            a, b = find(v), find(w)
+            if a != b:
+                root[a] = b
+                out.append((nodes[v], nodes[w]))
+    return out
+
+
+def _among(threshold: float):
+    """Over members sorted by leader and pair of blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            nodes, sims, sizes, missing, beyond, names = zip(*rows)
+            found = links_in_block(list(nodes), [s < threshold for s in sims], sizes[0], np.array(missing), np.array(beyond), [np.frombuffer(x, np.uint64) for x in names], threshold)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for key, *row in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), *(batch.column(i).to_pylist() for i in range(3, 9))):
+                if key != at:
+                    if len(rows) > 1:
+                        yield done()
+                    at, rows = key, []
+                rows.append(row)
+        if len(rows) > 1:
+            yield done()
 
-def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, lead, sim of distinct pairs."""
-    left = texts.select(F.col("node"), F.col("text").alias("t1"))
-    right = texts.select(F.col("node").alias("lead"), F.col("text").alias("t2"))
-    both = pairs.join(left, "node").join(right, "lead").select("node", "lead", "t1", "t2")
-    return both.mapInArrow(_verify, "node long, lead long, sim double")
+    return run
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4, block_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) for every row of ``docs`` (doc_id, text).
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles is at least
     ``threshold``; a class holds whatever links join.  A pair just at 0.8 shares none of 20 bands of 4 with
     probability 0.00003, a nearer pair still less.  Texts of fewer than five words are one shingle; null is
     empty; texts without words are equal to each other and near nothing else.  Rows of one doc_id are one
-    document: their classes join, and its smallest text is the one compared.  A null doc_id has class null.  Extra columns are ignored; an empty table
-    gives an empty result.
+    document: their classes join, and its smallest text is the one compared.  A null doc_id has class null.
+    Extra columns are ignored; an empty table gives an empty result.
     """
     d = pick(docs, doc_id="long", text="string").withColumn("text", text_of(F.col("text")))
+    n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signed = keep(d.mapInArrow(_sign(bands, rows), "doc_id long, k1 long, k2 long, bands array<long>"), "signed")
     known = signed.where("doc_id is not null")
     first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     members = keep(known.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "node"), "members")
     own = known.join(first.select("k1", "k2", "node"), ["k1", "k2"]).where("doc_id = node")
     entries = own.select("node", F.explode("bands").alias("b")).distinct()
-    entries = keep(entries.join(entries.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "b").select("b", "node"), "entries")
-    nodes = entries.select("node").distinct()
-    texts = keep(d.join(nodes, F.col("doc_id") == F.col("node")).groupBy("node").agg(F.min("text").alias("text")), "texts")
-
-    links = members.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).limit(0)
-    tested = None
-    for turn in range(rounds + 1):
-        if turn < rounds:
-            lead = entries.groupBy("b").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-            met = entries.join(lead, "b").where("node <> lead")
-        else:
-            met = entries.join(entries.select("b", F.col("node").alias("lead")), "b").where("node > lead")
-        pairs = met.select("node", "lead").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["node", "lead"], "left_anti")
-        new = keep(_similarities(pairs, texts), "similar")
-        tested = new if tested is None else tested.unionByName(new)
-        links = links.unionByName(new.where(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("lead").alias("b")))
-        if turn == rounds:
-            break
-        scored = met.join(tested, ["node", "lead"]).select("b", "node", "sim")
-        far = scored.where(F.col("sim") < threshold).groupBy("b").agg(F.max("sim").alias("next"))
-        # distance of a member to the nearest of the others is at least (1 - next) - (1 - sim)
-        rest = scored.join(far, "b").where((F.col("sim") < threshold) | (F.col("sim") - F.col("next") <= 1 - threshold + 1e-9))
-        entries = keep(rest.select("b", "node"), "entries")
-        if entries.isEmpty():
-            break
+    entries = keep(entries.join(entries.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "b"), "entries")
+    # how full a node's buckets are, and below that a hash, so that ties fall alike everywhere
+    central = entries.groupBy("node").agg(F.sum("n").alias("full"))
+    central = central.select("node", (F.col("full") * 1024 + F.pmod(F.xxhash64("node"), F.lit(1024))).alias("rank"))
+    leads = entries.join(central, "node").groupBy("b").agg(F.max_by("node", "rank").alias("lead"))
+    pairs = entries.join(leads, "b").where("node <> lead").select("node", "lead").distinct()
+    texts = keep(d.join(central.select("node"), F.col("doc_id") == F.col("node")).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    left = texts.select("node", F.col("text").alias("t1"))
+    right = texts.select(F.col("node").alias("lead"), F.col("text").alias("t2"))
+    both = pairs.join(left, "node").join(right, "lead").select("node", "lead", "t1", "t2")
+    compared = keep(both.mapInArrow(_compare, _COMPARED), "compared")
+    drop(texts)
+    drop(entries)
+    links = compared.where(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+
+    groups = compared.groupBy("lead").agg(
+        F.count_if(F.col("sim") < threshold).alias("far"), F.count("*").alias("n"), F.sum(F.octet_length("names")).alias("bytes")
+    )
+    groups = groups.where("far > 0 and n > 1").select("lead", F.ceil(F.col("bytes") / block_bytes).cast("int").alias("blocks"))
+    work = compared.where(F.octet_length("names") > 0).join(groups, "lead")
+    work = work.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = work.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "sim", "size", "missing", "beyond", "names")
+    work = work.repartition(n_parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    links = links.unionByName(work.mapInArrow(_among(threshold), "a long, b long"))
+
     found = components(links)
     named = members.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     # rows of one doc_id share the smallest class
