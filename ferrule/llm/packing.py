@@ -3,7 +3,7 @@
 Texts become token ids once, in a written table.  Whole windows of a long text are sequences as they are; what is
 left of it, and shorter texts, are pieces to be packed.  Pieces are dealt to shards of about ``shard_tokens``.  A
 shard holds a BM25 inverted index over its pieces, with document frequencies and lengths of the whole corpus.  The
-longest unused piece is the seed of a window; its weightiest terms are the query; unused pieces follow by score
+longest unused piece is the seed of a window; all its terms are the query; unused pieces follow by score
 until the window is full, the last of them cut to fit, and its rest goes on.  A shard's last window is dealt to
 sequences whose sizes are powers of two, which need no padding.
 """
@@ -25,7 +25,6 @@ from ferrule.llm.word_tokens import worker
 WINDOW = 4096
 CLOSE = 2  # the id after each text
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
 TERMS = 1 << 16
 
 
@@ -76,8 +75,7 @@ class Shard:
             ids = self.docs[d][1][a:]
             t, tf = np.unique(ids, return_counts=True)
             w = self.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
-            best = np.argpartition(-w, QUERY_TERMS)[:QUERY_TERMS] if len(w) > QUERY_TERMS else np.arange(len(w))
-            self.queries.append(t[best])
+            self.queries.append(t)
             terms.append(t)
             owners.append(np.full(len(t), k, np.int32))
             weights.append(w.astype(np.float32))

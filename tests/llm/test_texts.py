@@ -158,6 +158,15 @@ def test_packing_puts_neighbours_together():
     assert np.mean([len(set(v)) == 1 for v in by.values()]) > 0.9
 
 
+def test_packing_ranks_by_all_terms():
+    """A piece that shares only light terms of a long seed comes before one that shares none."""
+    shard = packing.Shard(np.ones(packing.TERMS, np.float32), 100.0, 256)
+    rare = np.repeat(np.arange(100, 130), 4)
+    shard.docs += [(0, np.concatenate([rare, np.arange(10, 70)]).astype(np.uint16)), (1, np.arange(2000, 2076).astype(np.uint16)), (2, np.arange(10, 70).astype(np.uint16))]
+    shard.pack()
+    assert [r[0] for r in shard.rows][:2] == [0, 2]
+
+
 PAGE = """<html><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><div class="cookie-notice">We use cookies,
 ok? Long text here, and more text, here.</div><main><h2>Title &amp; more</h2><p>Hello&nbsp;<i>wor</i>ld, this is <a href="/x>">the article</a> text.<p>Second
 <!-- <p>no</p> --> para<script>var t="</p>";</script><table><tr><td>A<td>B</table><ul><li>one<li>two</ul><form>Email <input><button>Go</button></form>
