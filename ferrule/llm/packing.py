@@ -1,25 +1,31 @@
 """Lexical retrieval packing: windows of one size, filled with texts that are about the same things.
 
 Texts become token ids once, in a written table.  Whole windows of a long text are sequences as they are; what is
-left of it, and shorter texts, are pieces to be packed.  Pieces are dealt to shards of about ``shard_tokens``.  A
-shard holds a BM25 inverted index over its pieces, with document frequencies and lengths of the whole corpus.  The
-longest unused piece is the seed of a window; all its terms are the query; unused pieces follow by score
-until the window is full, the last of them cut to fit, and its rest goes on.  A shard's last window is dealt to
+left of it, and shorter texts, are pieces to be packed.  The longest unused piece is the seed of a window; all its
+terms are the query; the unused pieces of the whole corpus follow by BM25 score, then by doc_id, until the window is
+full, the last of them cut to fit, and its rest goes on.  What is less than a window at the end is dealt to
 sequences whose sizes are powers of two, which need no padding.
+
+The index is written in shards of about ``shard_tokens``.  In rounds, a block of the next seeds is put to every
+shard; the driver merges the best of all shards and fills windows in the order of seeds as far as the merged lists
+are sure to be the ranking of the whole corpus.  The shards therefore never decide what meets.  The work grows with
+seeds times postings, so with the square of the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.columns import pick, text_of
-from ferrule.llm.hashing import in_chunks
-from ferrule.llm.store import keep
+from ferrule.llm.hashing import in_chunks, ranges
+from ferrule.llm.store import drop, keep
 from ferrule.llm.word_tokens import worker
 
 WINDOW = 4096
@@ -56,8 +62,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(df[terms], pa.int64())], ["term", "n"])
 
 
+def _weights(idf: np.ndarray, mean: float, t: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+    """BM25 weights of the terms of a piece of ``n`` ids, as multiples of 2**-20: their sums as doubles are exact in any order."""
+    w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
+    return (np.round(w * (1 << 20)) / (1 << 20)).astype(np.float32)
+
+
 class Shard:
-    """Pieces of one shard, their index, and the sequences made of them."""
+    """All pieces of a corpus of one shard, their index, and the sequences made of them."""
 
     def __init__(self, idf: np.ndarray, mean: float, window: int):
         self.idf, self.mean, self.window = idf, mean, window
@@ -74,11 +86,11 @@ class Shard:
         for k, (d, a) in enumerate(zip(pieces, begin)):
             ids = self.docs[d][1][a:]
             t, tf = np.unique(ids, return_counts=True)
-            w = self.idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / self.mean))
+            w = _weights(self.idf, self.mean, t, tf, len(ids))
             self.queries.append(t)
             terms.append(t)
             owners.append(np.full(len(t), k, np.int32))
-            weights.append(w.astype(np.float32))
+            weights.append(w)
         terms, owners, weights = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
         by_term = np.argsort(terms, kind="stable")
         self.owners, self.weights = owners[by_term], weights[by_term]
@@ -170,6 +182,243 @@ def _pack(idf: np.ndarray, mean: float, window: int):
     return run
 
 
+LOW = (1 << 32) - 1
+ROUND = 1 << 17  # seeds of a round times pieces that a task returns for each
+_PLACED = "p long, first long, doc_id long, ids binary"
+_INDEX = "p long, n long, terms binary, pieces binary, owners binary, weights binary, counts binary"
+_ROWS = "p long, start long, length long, sequence_id long, offset long"
+
+
+def _place(window: int):
+    """Numbers texts in the order of doc_id: the partition above, the place in it below.  Whole windows are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, whole = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            counts = np.array([len(x.as_buffer()) // 2 // window for x in b.column(1)], np.int64)
+            first = ((part + 1) << 40) + whole + np.cumsum(counts) - counts
+            whole += int(counts.sum())
+            p = (part << 32) + at + np.arange(len(counts))
+            at += len(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(first), b.column(0), b.column(1)], ["p", "first", "doc_id", "ids"])
+
+    return run
+
+
+def _indexed(idf: np.ndarray, mean: float, window: int, shard_tokens: int):
+    """A row of each piece with its terms, and a row (of no p) of each shard with its postings by term."""
+    names = [c.split()[0] for c in _INDEX.split(", ")]
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+
+    def shard(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = [(p, n, t.tobytes(), None, None, None, None) for p, n, t, _ in pieces]
+        terms = np.concatenate([t for _, _, t, _ in pieces])
+        by_term = np.argsort(terms, kind="stable")
+        owners = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(t) for _, _, t, _ in pieces])[by_term]
+        weights = np.concatenate([w for *_, w in pieces])[by_term]
+        numbers = np.array([p for p, *_ in pieces], np.int64)
+        counts = np.bincount(terms, minlength=TERMS).astype(np.int32)
+        rows.append((None, None, None, numbers.tobytes(), owners.tobytes(), weights.tobytes(), counts.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, total = [], 0
+        for b in batches:
+            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = np.frombuffer(x.as_buffer(), np.uint16)
+                ids = ids[len(ids) // window * window :]
+                if not len(ids):
+                    continue
+                t, tf = np.unique(ids, return_counts=True)
+                pieces.append((p, len(ids), t, _weights(idf, mean, t, tf, len(ids))))
+                total += len(ids)
+                if total >= shard_tokens:
+                    yield from shard(pieces)
+                    pieces, total = [], 0
+        if pieces:
+            yield from shard(pieces)
+
+    return run
+
+
+def _asked(shared):
+    """Of each query: the best unused pieces of the task's shards, by score and number, and one row more if there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, unused, offsets, size = shared.value
+        none = (np.empty(0), np.empty(0, np.int64))
+        best = [none] * len(queries)
+        for b in batches:
+            for pieces, owners, weights, counts in zip(*(c.to_pylist() for c in b.columns)):
+                numbers = np.frombuffer(pieces, np.int64)
+                d = offsets[numbers >> 32] + (numbers & LOW)
+                free = np.flatnonzero(unused[d])
+                if not len(free):
+                    continue
+                owners, weights, counts = np.frombuffer(owners, np.int32), np.frombuffer(weights, np.float32), np.frombuffer(counts, np.int32).astype(np.int64)
+                starts = np.cumsum(counts) - counts
+                # terms of many pieces are summed by a product of matrices, the others by their postings: sums are exact
+                dense = np.flatnonzero(counts * 8 > len(d))[: max(1, (1 << 20) // len(d))]
+                column = np.full(TERMS, -1)
+                column[dense] = np.arange(len(dense))
+                table = np.zeros((len(dense), len(d)))
+                of = ranges(starts[dense], counts[dense])
+                table[np.repeat(np.arange(len(dense)), counts[dense]), owners[of]] = weights[of]
+                table = table[:, free]
+                step = max(1, (1 << 18) // len(d))
+                for at in range(0, len(queries), step):
+                    part = queries[at : at + step]
+                    terms, of = np.concatenate(part), np.repeat(np.arange(len(part)), [len(q) for q in part])
+                    common = column[terms] >= 0
+                    asks = np.zeros((len(part), len(dense)))
+                    asks[of[common], column[terms[common]]] = 1
+                    terms, of = terms[~common], of[~common]
+                    posts = ranges(starts[terms], counts[terms])
+                    places = np.repeat(of * len(d), counts[terms]) + owners[posts]
+                    scores = np.bincount(places, weights[posts], len(part) * len(d)).reshape(len(part), len(d))[:, free] + asks @ table
+                    least = np.array([x[0][-1] if len(x[0]) > size else -1.0 for x in best[at : at + step]])
+                    row, col = np.nonzero(scores >= least[:, None])
+                    bounds = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
+                    for i, (x, y) in enumerate(zip(bounds, bounds[1:]), at):
+                        if x < y:
+                            s, k = np.concatenate([best[i][0], scores[i - at, col[x:y]]]), np.concatenate([best[i][1], d[free[col[x:y]]]])
+                            top = np.lexsort((k, -s))[: size + 1]
+                            best[i] = s[top], k[top]
+        found = [(i, s.tobytes(), k.tobytes()) for i, (s, k) in enumerate(best) if len(s)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.binary()))], ["i", "s", "k"])
+
+    return run
+
+
+def merged(lists: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, bool]:
+    """Pieces of the lists of all tasks as far as none that was not returned can come between, and whether these are all."""
+    if not lists:
+        return np.empty(0, np.int64), True
+    s, k = np.concatenate([x for x, _ in lists]), np.concatenate([x for _, x in lists])
+    order = np.lexsort((k, -s))
+    ends = np.cumsum([len(x) for x, _ in lists]) - 1
+    cut = [e for e, (x, _) in zip(ends.tolist(), lists) if len(x) > size]
+    if not cut:
+        return k[order], True
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return k[order[: place[cut].min() + 1]], False
+
+
+def _in_rounds(index: DataFrame, window: int) -> list[DataFrame]:
+    """Tables of what stands where (_ROWS) of all pieces of the index."""
+    spark = index.sparkSession
+    known = index.where("p IS NOT NULL").select("p", "n").toArrow()
+    p, n = known["p"].to_numpy(), known["n"].to_numpy()
+    sizes = np.zeros(int(p.max() >> 32) + 1 if len(p) else 0, np.int64)
+    np.maximum.at(sizes, p >> 32, (p & LOW) + 1)
+    offsets = np.cumsum(sizes) - sizes
+    d = offsets[p >> 32] + (p & LOW)
+    end, number = np.zeros(sizes.sum(), np.int64), np.zeros(sizes.sum(), np.int64)
+    end[d], number[d] = n, p
+    begin, unused = np.zeros_like(end), end > 0
+    seeds = np.flatnonzero(unused)
+    seeds = seeds[np.argsort(-end[seeds], kind="stable")]
+    rest, sequences, block, size = int(end.sum()), 0, 256, 32
+    rows, tables = [], []
+
+    def put(k: int, room: int, fit: int) -> int:
+        nonlocal rest
+        take = min(room, int(end[k] - begin[k]))
+        rows.append((int(number[k]), int(begin[k]), take, sequences, fit - room))
+        begin[k] += take
+        unused[k] = begin[k] < end[k]
+        rest -= take
+        return room - take
+
+    def flush(least: int) -> None:
+        if len(rows) > least:
+            columns = [c.split()[0] for c in _ROWS.split(", ")]
+            tables.append(keep(spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in zip(*rows)], columns)), "packed"))
+            rows.clear()
+
+    while rest >= window:
+        seeds = seeds[unused[seeds]]
+        asked = seeds[: min(block, max(1, ROUND // size), rest // window)]
+        wanted = spark.createDataFrame(pa.table([pa.array(number[asked]), pa.array(np.arange(len(asked)))], ["p", "i"]))
+        terms = index.where("p IS NOT NULL").select("p", "terms").join(F.broadcast(wanted), "p").select("i", "terms").toArrow()
+        queries = [np.empty(0, np.uint16)] * len(asked)
+        for i, t in zip(terms["i"].to_pylist(), terms["terms"].to_pylist()):
+            queries[i] = np.frombuffer(t, np.uint16)
+        shared = spark.sparkContext.broadcast((queries, unused, offsets, size))
+        answers: list[list] = [[] for _ in queries]
+        found = index.where("p IS NULL").select("pieces", "owners", "weights", "counts").mapInArrow(_asked(shared), "i long, s binary, k binary").toArrow()
+        for i, s, k in zip(*(found[c].to_pylist() for c in ("i", "s", "k"))):
+            answers[i].append((np.frombuffer(s), np.frombuffer(k, np.int64)))
+        shared.destroy()
+        done = 0
+        for seed, lists in zip(asked.tolist(), answers):
+            if unused[seed]:
+                others, complete = merged(lists, size)
+                others = others[unused[others] & (others != seed)]
+                if not complete and end[seed] - begin[seed] + (end[others] - begin[others]).sum() < window:
+                    break  # later pieces may come from anywhere: ask again
+                if rest < window:
+                    break
+                room = put(seed, window, window)
+                for k in others.tolist():
+                    if not room:
+                        break
+                    room = put(k, room, window)
+                sequences += 1
+            done += 1
+        if done == len(asked):
+            block = min(2 * block, 4096)
+        elif done < len(asked) // 2 or not done:
+            size, block = 2 * size, max(64, block // 2)
+        flush(1 << 18)
+    left = seeds[unused[seeds]].tolist()
+    while rest:  # less than a window: powers of two
+        room = fit = 1 << (rest.bit_length() - 1)
+        while room:
+            room = put(left[0], room, fit)
+            if not unused[left[0]]:
+                left.pop(0)
+        sequences += 1
+    flush(0)
+    return tables
+
+
+def _whole(window: int):
+    """Whole windows of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, doc_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                ids = np.frombuffer(x.as_buffer(), np.uint16)
+                rows = [
+                    (doc_id, k * window, window, ids[k * window : (k + 1) * window].astype("<u4").tobytes(), len(ids), first + k, 0)
+                    for k in range(len(ids) // window)
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _KINDS)], [c.split()[0] for c in _OUT.split(", ")])
+
+    return run
+
+
+def _cut(window: int):
+    """Rows of packed pieces with the ids of their texts: starts count from the last whole window on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part, rows = b.slice(at, 500), []
+                numbers = (c.to_pylist() for i, c in enumerate(part.columns) if i != 1)
+                for doc_id, start, length, sequence_id, offset, x in zip(*numbers, part.column(1)):
+                    ids = np.frombuffer(x.as_buffer(), np.uint16)
+                    start += len(ids) // window * window
+                    rows.append((doc_id, start, length, ids[start : start + length].astype("<u4").tobytes(), len(ids), sequence_id, offset))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _KINDS)], [c.split()[0] for c in _OUT.split(", ")])
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = 1 << 20) -> DataFrame:
     """Pieces of packed sequences of all rows of ``docs`` (doc_id, text).
 
@@ -192,6 +441,18 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: in
     idf = np.log1p((texts - df + 0.5) / (df + 0.5)).astype(np.float32)
     shards = max(1, round(total / shard_tokens))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ids.select(F.pmod(F.xxhash64("doc_id", "nth"), F.lit(shards)).alias("shard"), "doc_id", "ids")
-    rows = dealt.repartition(n, "shard").sortWithinPartitions("shard", "doc_id")
-    return rows.mapInArrow(_pack(idf, total / max(1, texts), window), _OUT)
+    mean = total / max(1, texts)
+    if shards == 1:
+        rows = ids.select(F.lit(0).alias("shard"), "doc_id", "ids").repartition(1).sortWithinPartitions("doc_id")
+        return rows.mapInArrow(_pack(idf, mean, window), _OUT)
+    ordered = ids.repartitionByRange(n, "doc_id", "nth").sortWithinPartitions("doc_id", "nth").select("doc_id", "ids")
+    placed = keep(ordered.mapInArrow(_place(window), _PLACED), "placed")
+    drop(ids)
+    index = keep(placed.select("p", "ids").mapInArrow(_indexed(idf, mean, window, shard_tokens), _INDEX), "index")
+    tables = _in_rounds(index, window)
+    drop(index)
+    out = placed.select("first", "doc_id", "ids").mapInArrow(_whole(window), _OUT)
+    if tables:
+        packed = reduce(DataFrame.unionAll, tables).join(placed.select("p", "doc_id", "ids"), "p")
+        out = out.unionAll(packed.select("doc_id", "ids", "start", "length", "sequence_id", "offset").mapInArrow(_cut(window), _OUT))
+    return out

@@ -158,6 +158,22 @@ def test_packing_puts_neighbours_together():
     assert np.mean([len(set(v)) == 1 for v in by.values()]) > 0.9
 
 
+@pytest.mark.parametrize("copies", [1, 40])
+def test_packing_meets_the_whole_corpus(spark, docs, copies):
+    """Windows of an index of many shards are those of one index over everything."""
+    few = docs.orderBy("doc_id").limit(120).select("doc_id", "text")
+    more = few.orderBy("doc_id").limit(2).crossJoin(spark.range(1, copies)).selectExpr("doc_id + 1000000 * id AS doc_id", "text")
+    table = few.unionByName(more).localCheckpoint()
+    found = []
+    for shard_tokens in (3000, 1 << 30):
+        rows = packing.pack(table, vocabulary("word_bpe_49k.json"), window=1024, shard_tokens=shard_tokens).collect()
+        by: dict = {}
+        for r in rows:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.start, r.length, bytes(r.ids)))
+        found.append(sorted(sorted(v) for v in by.values()))
+    assert found[0] == found[1]
+
+
 def test_packing_ranks_by_all_terms():
     """A piece that shares only light terms of a long seed comes before one that shares none."""
     shard = packing.Shard(np.ones(packing.TERMS, np.float32), 100.0, 256)
