@@ -21,10 +21,16 @@ from ferrule.llm.columns import pick, text_of
 #: Elements whose text is never the article's.
 FURNITURE = frozenset("nav footer aside form button select option textarea head menu dialog fieldset label input".split())
 #: Elements whose content is no text at all: it runs to their own end tag.
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|title|textarea|select"
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|title|textarea|select"
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
+#: Formulas are text within a line; their tags may close themselves.
+MATHS = frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover semantics annotation annotation-xml none".split()
+)
+INLINE |= MATHS
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends an open element of these, up to the limit.
 IMPLIED = {
@@ -40,7 +46,8 @@ HINTS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
@@ -113,9 +120,13 @@ class Page:
                     break
         if tag == "br":
             self._text(" ")
-        if tag in VOID:
+        if tag in VOID or (tag in MATHS and rest.endswith("/")):
             return
         parent = self.open[-1][1]
+        if tag in MATHS:  # a formula is text of what it stands in
+            if len(self.open) < 4096:
+                self.open.append((tag, parent))
+            return
         hint = _hint(tag, rest)
         key = (parent, f"{tag}.{hint}" if hint else tag)
         if key not in self.paths:

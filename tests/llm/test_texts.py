@@ -208,3 +208,13 @@ def test_pages_of_the_corpus(spark, sf_dir):
         inside = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("</?b>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside)]
         assert html_text.main_text(r.html) == "\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("odd_tag", ["<svg-icon name=a></svg-icon>", "<title-bar></title-bar>", "<select-menu></select-menu>", "<object-viewer></object-viewer>", '<svg width="1"/>', "<svg/>", "<math/>", "<svg><text>no</text></svg >", "<script>no</script x>"])
+def test_pages_are_not_lost_after(odd_tag):
+    assert html_text.main_text(f"<article><p>First text, of some length.</p>{odd_tag}<p>Second text, of some length.</p></article>") == "First text, of some length.\nSecond text, of some length."
+
+
+def test_pages_keep_formulas():
+    page = "<article><p>The area of the square is <math><msup><mi>side</mi><mn>2</mn></msup><mspace/></math>, as known.</p></article>"
+    assert html_text.main_text(page) == "The area of the square is side2, as known."
