@@ -43,6 +43,12 @@ HINTS = frozenset(
     "modal overlay newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social comment "
     "comments disqus reply replies respond footer header masthead related login search form widget toolbar pagination pager".split()
 )
+#: Parts that a class may have besides these words; with any other (no-sidebar, comments-open) it speaks of something else.
+NEUTRAL = frozenset("site main global top bottom primary secondary area list section wrapper wrap container box bar block links buttons inner".split())
+#: What an article inside does not clear: comments and teasers are articles too.  Only hidden holds against main.
+HELD = frozenset(
+    "ad ads adbox advert adverts advertisement sponsor sponsored promo promotion comment comments disqus reply replies respond related hidden".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TAG = re.compile(
@@ -61,10 +67,11 @@ SHARE = 0.25
 OUTSIDE, LINKED = 0.1, 0.4
 
 
-def _hint(tag: str, rest: str) -> str:
-    """The first word of class, id or role that marks page furniture."""
+def _hint(tag: str, rest: str, inside: bool) -> str:
+    """The first word of class, id or role that marks page furniture; those that an article does not clear come first."""
     if not rest.strip() or tag in MAIN or tag in ("html", "body"):
         return ""
+    found = ""
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         value = (a or b or c).lower()
         name = name.lower()
@@ -72,12 +79,17 @@ def _hint(tag: str, rest: str) -> str:
             return "hidden"
         if name == "role":
             if value in ROLES:
-                return value
+                found = found or value
         else:
-            for w in _WORDS.findall(value):
-                if w in HINTS:
-                    return w
-    return ""
+            for token in value.split():
+                words = _WORDS.findall(token)
+                hints = [w for w in words if w in HINTS and not (inside and w == "header")]
+                if hints and all(w in hints or w in NEUTRAL for w in words):
+                    for w in hints:
+                        if w in HELD:
+                            return w
+                    found = found or hints[0]
+    return found
 
 
 class Page:
@@ -85,7 +97,8 @@ class Page:
 
     def __init__(self, source: str):
         self.paths: dict[tuple[int, str], int] = {}
-        self.kinds: list[tuple[bool, bool, bool]] = [(False, False, False)]  # of paths: furniture, in the article, in a link
+        # of paths: furniture by tag or held, furniture by a hint above, in the article, in a link
+        self.kinds: list[tuple[bool, str, bool, bool]] = [(False, "", False, False)]
         self.nodes: list[tuple[int, int, str]] = []  # block, path, text
         self.open: list[tuple[str, int]] = [("", 0)]
         self.block = 0
@@ -127,14 +140,18 @@ class Page:
             if len(self.open) < 4096:
                 self.open.append((tag, parent))
             return
-        hint = _hint(tag, rest)
+        hint = _hint(tag, rest, self.kinds[parent][2])
         key = (parent, f"{tag}.{hint}" if hint else tag)
         if key not in self.paths:
             self.paths[key] = len(self.kinds)
-            bad, inside, link = self.kinds[parent]
+            bad, hinted, inside, link = self.kinds[parent]
+            if hinted and hinted != "hidden" and (tag == "main" or tag == "article" and hinted not in HELD):
+                hinted = ""  # a layout's words do not speak of the article in it
+            if not hinted or hint in HELD and hinted != "hidden":
+                hinted = hint or hinted
             # an article's own header holds its heading
-            bad = bad or bool(hint) or tag in FURNITURE or (tag == "header" and not inside)
-            self.kinds.append((bad, inside or tag in MAIN, link or tag == "a"))
+            bad = bad or tag in FURNITURE or (tag == "header" and not inside)
+            self.kinds.append((bad, hinted, inside or tag in MAIN, link or tag == "a"))
         self.open.append((tag, self.paths[key]))
         if len(self.open) > 4096:  # deeper tags are not told apart
             self.open.pop()
@@ -156,7 +173,10 @@ class Page:
         if not nodes:
             return np.zeros(n)
         path, chars, marks = (np.array(x) for x in zip(*nodes))
-        bad, inside, link = (np.array(x) for x in zip(*self.kinds))
+        tagged, hinted, inside, link = (np.array(x) for x in zip(*self.kinds))
+        bad = tagged | (hinted != "")
+        if bad[path].all():  # hints alone do not empty a page
+            bad = tagged | (hinted == "hidden")
         count = np.maximum(np.bincount(path, minlength=n), 1)
         fused = np.zeros(n)
         good = ~bad[path]  # furniture next to a node does not raise it

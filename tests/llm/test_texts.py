@@ -218,3 +218,28 @@ def test_pages_are_not_lost_after(odd_tag):
 def test_pages_keep_formulas():
     page = "<article><p>The area of the square is <math><msup><mi>side</mi><mn>2</mn></msup><mspace/></math>, as known.</p></article>"
     assert html_text.main_text(page) == "The area of the square is side2, as known."
+
+
+ARTICLE = "<h1>The heading</h1><p>Text of the article, of some length, with marks.</p><p>More of it, and more.</p>"
+ARTICLE_TEXT = "The heading\nText of the article, of some length, with marks.\nMore of it, and more."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout no-sidebar"><article>{ARTICLE}</article></div>',
+        f'<div id=page class="site has-sidebar comments-open"><article>{ARTICLE}</article></div>',
+        f'<div id=page class="site has-sidebar comments-open">{ARTICLE}</div>',
+        f'<div class="layout sidebar"><div><article>{ARTICLE}</article></div></div>',
+        f'<div class="layout sidebar">{ARTICLE}</div>',
+        f'<div class="comments"><main>{ARTICLE}</main></div>',
+        f'<article><header class="entry-header"><h1>The heading</h1></header>{ARTICLE[20:]}</article>'.replace("</h1></h1>", "</h1>"),
+        f'<article><div class="header"><h1>The heading</h1></div>{ARTICLE[20:]}</article>',
+        f'<article>{ARTICLE}</article><div class="comments-area"><article><p>I agree with all of it, really.</p></article></div>',
+        f'<article>{ARTICLE}<div class="sidebar"><p>A box at the side, with text.</p></div></article>',
+        f'<article>{ARTICLE}</article><div class="related sidebar"><article><p>A teaser of another text, here.</p></article></div>',
+        f'<div>{ARTICLE}</div><div class="cookie-notice"><p>We use cookies, on all of our pages.</p></div>',
+    ],
+)
+def test_pages_keep_the_article_in_a_layout(page):
+    assert html_text.main_text(page) == ARTICLE_TEXT
