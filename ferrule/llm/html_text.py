@@ -3,7 +3,8 @@
 Every text node of a page hangs on a root-to-leaf path of tags (a tag carries its class and id words that mark
 page furniture).  Paths, not single nodes, are judged: the text length and the punctuation of a path's nodes are
 summed and set against the number of nodes, smoothed over neighbouring nodes in page order, fused, weighted by
-what the path's tags say, and the paths above a share of the best one are content.
+what the path's tags say, and the paths above a share of the best one are content.  Within an article every path
+but furniture is.
 """
 
 from __future__ import annotations
@@ -171,6 +172,7 @@ class Page:
         n = len(self.kinds)
         nodes = [(p, len(t.strip()), len(_MARKS.findall(t))) for _, p, t in self.nodes if not t.isspace()]
         if not nodes:
+            self.whole = np.zeros(n, bool)
             return np.zeros(n)
         path, chars, marks = (np.array(x) for x in zip(*nodes))
         tagged, hinted, inside, link = (np.array(x) for x in zip(*self.kinds))
@@ -189,13 +191,14 @@ class Page:
         fused = np.log1p(parts[0]) * (1 + 0.25 * np.log1p(parts[1]))
         fused[bad | (np.bincount(path, chars, n) == 0)] = 0
         fused[link] *= LINKED
+        self.whole = inside & ~bad
         if (fused[inside] > 0).any():
             fused[~inside] *= OUTSIDE
         return fused
 
     def text(self) -> str:
         scores = self.scores()
-        content = scores >= max(1e-9, SHARE * scores.max())
+        content = self.whole | (scores >= max(1e-9, SHARE * scores.max()))
         blocks: list[list[str]] = []
         last = None
         for block, path, text in self.nodes:

@@ -243,3 +243,13 @@ ARTICLE_TEXT = "The heading\nText of the article, of some length, with marks.\nM
 )
 def test_pages_keep_the_article_in_a_layout(page):
     assert html_text.main_text(page) == ARTICLE_TEXT
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_pages_keep_long_tables_and_lists(tag):
+    paragraph = "A paragraph that is rather long, as they are, and goes on. " * 6
+    rows = [[f"{i % 10}{j}" for j in range(4)] for i in range(50)]
+    table = "".join("<tr>" + "".join(f"<td>{x}</td>" for x in r) + "</tr>" for r in rows)
+    items = [f"i{k}" for k in range(200)]
+    page = f"<nav><a href=x>Home</a></nav><{tag}>{f'<p>{paragraph}</p>' * 5}<table>{table}</table><ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>{f'<p>{paragraph}</p>' * 5}</{tag}><p>x</p>"
+    assert html_text.main_text(page).split("\n") == [paragraph.strip()] * 5 + [x for r in rows for x in r] + items + [paragraph.strip()] * 5
