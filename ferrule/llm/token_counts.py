@@ -5,7 +5,8 @@ sum of its pre-tokens' lengths.  Tier one is a compact table of frequent pre-tok
 most ``table_size`` entries, broadcast.  Tier two encodes what the table misses with the library and keeps the
 lengths in the worker's own cache of at most ``cache_size`` entries.  Texts never leave their task: no shuffle.
 
-The table is gathered from at most ``sample_rows`` texts.  It decides which tier answers, never the answer.
+The table holds the commonest pre-tokens of all texts, counted in a pass before.  It decides which tier answers,
+never the answer.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.columns import pick, text_of
+from ferrule.llm.store import drop, keep
 
 #: How a byte-level pre-tokenizer with its own pattern splits (a fixed value of the vocabulary's format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters of a pre-token of the table at most.
+LONGEST = 64
+
 _workers: dict[str, "TwoTier"] = {}
 
 
@@ -53,10 +58,14 @@ class TwoTier:
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.frequent, self.cache, self.cache_size = frequent, {}, cache_size
 
+    def parts(self, text: str) -> list[str]:
+        """What stands between special tokens."""
+        return self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+
     def pieces(self, text: str) -> tuple[Counter, int]:
         """Pre-tokens with their counts, and how many special tokens the text holds."""
-        if self.special is not None and self.special.search(text):
-            parts = self.special.split(text)
+        parts = self.parts(text)
+        if len(parts) > 1:
             found: Counter = Counter()
             for p in parts:
                 found.update(self.split(p))
@@ -84,23 +93,53 @@ class TwoTier:
 def _worker(path: str, frequent: dict[str, int], cache_size: int) -> TwoTier:
     if path not in _workers:
         _workers[path] = TwoTier(path, frequent, cache_size)
-    _workers[path].frequent = frequent
+    _workers[path].frequent, _workers[path].cache_size = frequent, cache_size
     return _workers[path]
 
 
-def frequent_lengths(docs: DataFrame, path: str, table_size: int, sample_rows: int) -> dict[str, int]:
-    """Lengths of the commonest pre-tokens of at most ``sample_rows`` texts, cut to 4,096 characters each."""
-    rows = docs.select(F.substring(text_of(docs["text"]), 1, 4096).alias("text")).limit(sample_rows).collect()
-    tier = TwoTier(path, {}, 1 << 20)
-    seen: Counter = Counter()
-    for r in rows:
-        seen.update(tier.pieces(r.text)[0])
-    names = [p for p, _ in seen.most_common(table_size) if len(p) <= 64]
+def _counted(path: str, flush: int = 1 << 19):
+    """Pre-tokens of a task's texts with their counts; in parts where there are many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tier, seen = _worker(path, {}, 0), Counter()
+
+        def done() -> pa.RecordBatch:
+            short = [(p, n) for p, n in seen.items() if len(p) <= LONGEST]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["piece", "n"])
+
+        for b in batches:
+            for t in b.column(0):
+                for part in tier.parts(t.as_py()):
+                    seen.update(tier.split(part))
+                if len(seen) > flush:
+                    yield done()
+        yield done()
+
+    return run
+
+
+def frequent_lengths(docs: DataFrame, path: str, table_size: int, sample_rows: int | None = None) -> dict[str, int]:
+    """Lengths of the commonest pre-tokens of all texts, or of ``sample_rows`` texts if given; of the last ties all or none."""
+    texts = docs.select(text_of(docs["text"]).alias("text"))
+    if sample_rows is not None:
+        texts = texts.limit(sample_rows)
+    counts = keep(texts.mapInArrow(_counted(path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    # the least count of which all pieces fit, so that the driver gets no more than the table
+    least, total = None, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
+        total += r["count"]
+        if total > table_size:
+            break
+        least = r.n
+    names = [] if least is None else [r.piece for r in counts.where(F.col("n") >= least).collect()]
+    drop(counts)
+    tier = TwoTier(path, {}, 0)
     return {p: len(e) for p, e in zip(names, tier.library.encode_batch_fast(names, add_special_tokens=False))}
 
 
 def token_counts(
-    docs: DataFrame, tokenizer: str, limit: int = 512, table_size: int = 65_536, cache_size: int = 500_000, sample_rows: int = 2_000
+    docs: DataFrame, tokenizer: str, limit: int = 512, table_size: int = 65_536, cache_size: int = 500_000, sample_rows: int | None = None
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 

@@ -43,6 +43,12 @@ def test_token_counts(odd, docs):
     assert token_counts.token_counts(odd.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_frequent_pieces_are_those_of_whole_texts(spark):
+    rows = [(1, "a " * 3000 + " zebra" * 5000), (2, None), (3, "a<|endoftext|> zebra")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert list(token_counts.frequent_lengths(df, vocabulary("byte_bpe_50k.json"), 1, 100)) == [" zebra"]
+
+
 def test_word_tokens():
     w = word_tokens.WordTokens(vocabulary("word_bpe_49k.json"), cache_size=20)
     for at in range(0, 0x3000, 64):
