@@ -2,20 +2,21 @@
 
 Texts become token ids once, in a written table.  Whole windows of a long text are sequences as they are; what is
 left of it, and shorter texts, are pieces to be packed.  The longest unused piece is the seed of a window; all its
-terms are the query; the unused pieces of the whole corpus follow by BM25 score, then by doc_id, until the window is
-full, the last of them cut to fit, and its rest goes on.  What is less than a window at the end is dealt to
+terms are the query; the unused pieces of its index shard follow by BM25 score, then in order, until the window is
+full, the last of them cut to fit, and its rest goes on.  What is less than a window at the end of a shard is dealt to
 sequences whose sizes are powers of two, which need no padding.
 
-The index is written in shards of about ``shard_tokens``.  In rounds, a block of the next seeds is put to every
-shard; the driver merges the best of all shards and fills windows in the order of seeds as far as the merged lists
-are sure to be the ranking of the whole corpus.  The shards therefore never decide what meets.  The work grows with
-seeds times postings, so with the square of the corpus.
+The index is sharded by content.  Of a piece's terms, each stands for an exponential clock whose rate is the
+term's BM25 weight in the piece; the first clocks to ring are the piece's key.  Two pieces share a first term with the
+probability that weighs their common terms against all of theirs, so copies always do, near copies nearly always
+and others where they share what is rare.  The corpus is sorted by key and cut into shards of about
+``shard_tokens``: neighbours lie together whatever the size of the corpus, a key that is common spreads over as many
+shards as it needs, and the work grows in proportion.  Term counts and weights are those of the whole corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.columns import pick, text_of
-from ferrule.llm.hashing import in_chunks, ranges
+from ferrule.llm.hashing import in_chunks, mix, ranges
 from ferrule.llm.store import drop, keep
 from ferrule.llm.word_tokens import worker
 
@@ -32,48 +33,111 @@ WINDOW = 4096
 CLOSE = 2  # the id after each text
 K1, B = 1.2, 0.75
 TERMS = 1 << 16
+#: Ids sorted at once.
+STRETCH = 1 << 18
+#: Terms of a piece's key.
+KEY_TERMS = 3
+#: Rounds of queries answered by one product of matrices.
+BLOCK = 24
+
+
+def terms_of(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of texts that lie one after the other: text, term, how often; by text, then by term."""
+    parts, first = [], 0
+    for some in in_chunks(sizes.tolist(), STRETCH):
+        for at in range(some.start, some.stop, TERMS):  # numbers of texts and terms share 32 bits
+            own = sizes[at : min(at + TERMS, some.stop)]
+            upto = first + int(own.sum())
+            keys = np.sort(np.repeat(np.arange(len(own), dtype=np.uint32) << np.uint32(16), own) | ids[first:upto])
+            heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+            found = keys[heads]
+            parts.append(((found >> np.uint32(16)).astype(np.int64) + at, (found & np.uint32(0xFFFF)).astype(np.int64), np.diff(np.append(heads, len(keys)))))
+            first = upto
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
+
+
+_IDS = "doc_id long, nth long, ids binary, df array<int>"
+
+
+def _binaries(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(2 * sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 def _tokens(tokenizer: str):
+    """The ids of texts; and rows (of no nth) that tell in how many texts of a task each term occurs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, close, n = worker(tokenizer), np.array([CLOSE], np.uint16).tobytes(), 0
+        encoder, n, df = worker(tokenizer), 0, np.zeros(TERMS, np.int32)
         for b in batches:
-            sizes = [len(t) for t in b.column(1).to_pylist()]
-            for part in in_chunks(sizes, 1 << 18):
-                ids = [x + close for x in encoder.encode(b.column(1)[part.start : part.stop].to_pylist())]
+            for part, ids, sizes in encoder.encode_array(b.column(1), (CLOSE,)):
+                df += np.bincount(terms_of(ids, sizes)[1], minlength=TERMS).astype(np.int32)
+                k = len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[part.start : part.stop], pa.array(range(n, n + len(ids)), pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "nth", "n", "ids"],
+                    [b.column(0)[part], pa.array(np.arange(n, n + k)), _binaries(ids, sizes), pa.nulls(k, pa.list_(pa.int32()))], ["doc_id", "nth", "ids", "df"]
                 )
-                n += len(ids)
+                n += k
+        if n:
+            last = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([df], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(last, ["doc_id", "nth", "ids", "df"])
 
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of the task each term occurs."""
-    df = np.zeros(TERMS, np.int64)
-    for b in batches:
-        for x in b.column(0):
-            seen = np.zeros(TERMS, bool)
-            seen[np.frombuffer(x.as_buffer(), np.uint16)] = True
-            df += seen
-    terms = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(df[terms], pa.int64())], ["term", "n"])
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of binaries without nulls, and how many each row has."""
+    _, offsets, raw = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // 2
+    ids = np.frombuffer(raw, np.uint16) if raw is not None else np.empty(0, np.uint16)
+    return ids[at[0] : at[-1]], np.diff(at).astype(np.int64)
 
 
-def _weights(idf: np.ndarray, mean: float, t: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
-    """BM25 weights of the terms of a piece of ``n`` ids, as multiples of 2**-20: their sums as doubles are exact in any order."""
+def _weights(idf: np.ndarray, mean: float, t: np.ndarray, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """BM25 weights of the terms of pieces of ``n`` ids, as multiples of 2**-16: their sums are exact in any order."""
     w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
-    return (np.round(w * (1 << 20)) / (1 << 20)).astype(np.float32)
+    return np.round(w * (1 << 16)) / (1 << 16)
+
+
+#: Ringing times of the terms' clocks at rate 1.
+_CLOCKS = -np.log((mix(np.arange(1, TERMS + 1, dtype=np.uint64)) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54)
+
+
+def keys_of(ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The key of each text: the terms whose clocks ring first, in that order, as one number."""
+    text, term, tf = terms_of(ids, sizes)
+    times = _CLOCKS[term] / np.maximum(_weights(idf, mean, term, tf, sizes[text]), 2.0**-16)
+    out = np.zeros(len(sizes), np.int64)
+    for _ in range(KEY_TERMS):
+        starts = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.empty(0, np.int64)
+        least = np.full(len(sizes), np.inf)
+        least[text[starts]] = np.minimum.reduceat(times, starts) if len(text) else []
+        hit = np.flatnonzero((times == least[text]) & (times < np.inf))
+        hit = hit[np.append(True, text[hit][1:] != text[hit][:-1])] if len(hit) else hit
+        out <<= 16
+        out[text[hit]] |= term[hit]
+        times[hit] = np.inf
+    return out
+
+
+def _keyed(idf: np.ndarray, mean: float, window: int):
+    """Texts with the keys of what is left of them after whole windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes = _flat(b.column(2))
+            rest = sizes % window
+            keys = keys_of(ids[ranges(np.cumsum(sizes) - rest, rest)], rest, idf, mean)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *b.columns], ["key", "doc_id", "nth", "ids"])
+
+    return run
 
 
 class Shard:
-    """All pieces of a corpus of one shard, their index, and the sequences made of them."""
+    """Texts of one shard, their index, and the sequences made of them."""
 
-    def __init__(self, idf: np.ndarray, mean: float, window: int):
-        self.idf, self.mean, self.window = idf, mean, window
-        self.docs: list[tuple] = []
+    def __init__(self, docs: list[tuple], idf: np.ndarray, mean: float, window: int):
+        self.docs, self.idf, self.mean, self.window = docs, idf, mean, window
         self.rows: list[tuple] = []
         self.sequences = 0
 
@@ -82,24 +146,36 @@ class Shard:
         self.rows.append((doc_id, at, upto - at, ids[at:upto], len(ids), self.sequences, offset))
 
     def _index(self, pieces: list[int], begin: list[int]) -> None:
-        terms, owners, weights, self.queries = [], [], [], []
-        for k, (d, a) in enumerate(zip(pieces, begin)):
-            ids = self.docs[d][1][a:]
-            t, tf = np.unique(ids, return_counts=True)
-            w = _weights(self.idf, self.mean, t, tf, len(ids))
-            self.queries.append(t)
-            terms.append(t)
-            owners.append(np.full(len(t), k, np.int32))
-            weights.append(w)
-        terms, owners, weights = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
-        by_term = np.argsort(terms, kind="stable")
-        self.owners, self.weights = owners[by_term], weights[by_term]
-        self.bounds = np.searchsorted(terms[by_term], np.arange(TERMS + 1))
-
-    def _scores(self, k: int, n: int) -> np.ndarray:
-        cuts = [(self.bounds[t], self.bounds[int(t) + 1]) for t in self.queries[k]]
-        own = np.concatenate([self.owners[a:b] for a, b in cuts])
-        return np.bincount(own, np.concatenate([self.weights[a:b] for a, b in cuts]), n)
+        """Postings by term; terms of many pieces as a matrix."""
+        n = len(pieces)
+        own = [self.docs[d][1][a:] for d, a in zip(pieces, begin)]
+        sizes = np.array([len(x) for x in own], np.int64)
+        piece, term, tf = terms_of(np.concatenate(own), sizes)
+        weights = _weights(self.idf, self.mean, term, tf, sizes[piece])
+        self.first = np.searchsorted(piece, np.arange(n + 1))  # of each piece's terms
+        self.term = term
+        by_term = np.argsort(term.astype(np.uint16), kind="stable")
+        self.owner, self.weight = piece[by_term], weights[by_term]
+        self.count = np.bincount(term, minlength=TERMS)
+        self.start = np.cumsum(self.count) - self.count
+        common = np.flatnonzero(self.count * 16 > n)
+        self.column = np.full(TERMS, -1)
+        self.column[common] = np.arange(len(common))
+        self.table = np.zeros((len(common), n), np.float32)
+        of = ranges(self.start[common], self.count[common])
+        self.table[np.repeat(np.arange(len(common)), self.count[common]), self.owner[of]] = self.weight[of]
+
+    def scores(self, asked: np.ndarray, n: int) -> np.ndarray:
+        """Scores of all pieces for each piece asked."""
+        sizes = self.first[asked + 1] - self.first[asked]
+        terms, of = self.term[ranges(self.first[asked], sizes)], np.repeat(np.arange(len(asked)), sizes)
+        common = self.column[terms] >= 0
+        asks = np.zeros((len(asked), len(self.table)), np.float32)
+        asks[of[common], self.column[terms[common]]] = 1
+        terms, of = terms[~common], of[~common]
+        posts = ranges(self.start[terms], self.count[terms])
+        places = np.repeat(of * n, self.count[terms]) + self.owner[posts]
+        return np.bincount(places, self.weight[posts], len(asked) * n).reshape(len(asked), n) + asks @ self.table
 
     def pack(self) -> None:
         size = self.window
@@ -117,40 +193,41 @@ class Shard:
             return
         n = len(pieces)
         self._index(pieces, begin)
-        ends = [len(self.docs[d][1]) for d in pieces]
-        seeds = sorted(range(n), key=lambda k: (begin[k] - ends[k], k))
+        ends, at = np.array([len(self.docs[d][1]) for d in pieces]), np.array(begin)
+        seeds = np.argsort(at - ends, kind="stable")
         unused = np.ones(n, bool)
-        rest = sum(e - a for e, a in zip(ends, begin))
-        next_seed = 0
+        rest = int((ends - at).sum())
+        answers: dict[int, np.ndarray] = {}
         while rest >= size:
-            while not unused[seeds[next_seed]]:
-                next_seed += 1
-            seed = seeds[next_seed]
-            scores = self._scores(seed, n)
-            scores[~unused] = -1
+            seeds = seeds[unused[seeds]]
+            seed = int(seeds[0])
+            if seed not in answers:
+                block = seeds[:BLOCK]
+                answers = dict(zip(block.tolist(), self.scores(block, n)))
+            scores = answers[seed]
             scores[seed] = np.inf  # itself first
+            free = np.flatnonzero(unused)
             room = size
-            for k in np.argsort(-scores, kind="stable").tolist():
-                take = min(room, ends[k] - begin[k])
-                self.put(pieces[k], begin[k], begin[k] + take, size - room)
-                begin[k] += take
+            for k in free[np.argsort(-scores[free], kind="stable")].tolist():
+                take = min(room, int(ends[k] - at[k]))
+                self.put(pieces[k], int(at[k]), int(at[k]) + take, size - room)
+                at[k] += take
                 room -= take
-                if begin[k] == ends[k]:
-                    unused[k] = False
+                unused[k] = at[k] < ends[k]
                 if not room:
                     break
             self.sequences += 1
             rest -= size
-        left = [k for k in seeds if unused[k]]
+        left = seeds[unused[seeds]].tolist()
         while rest:  # less than a window: powers of two
             room = fit = 1 << (rest.bit_length() - 1)
             while room:
                 k = left[0]
-                take = min(room, ends[k] - begin[k])
-                self.put(pieces[k], begin[k], begin[k] + take, fit - room)
-                begin[k] += take
+                take = min(room, int(ends[k] - at[k]))
+                self.put(pieces[k], int(at[k]), int(at[k]) + take, fit - room)
+                at[k] += take
                 room -= take
-                if begin[k] == ends[k]:
+                if at[k] == ends[k]:
                     left.pop(0)
             self.sequences += 1
             rest -= fit
@@ -160,261 +237,36 @@ _OUT = "doc_id long, start long, length long, ids binary, doc_tokens long, seque
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
 
 
-def _pack(idf: np.ndarray, mean: float, window: int):
-    def done(number: int, shard: Shard) -> Iterator[pa.RecordBatch]:
-        shard.pack()
-        for at in range(0, len(shard.rows), 2000):
-            rows = [(*r[:3], r[3].astype("<u4").tobytes(), r[4], (number << 32) + r[5], r[6]) for r in shard.rows[at : at + 2000]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _KINDS)], [c.split()[0] for c in _OUT.split(", ")])
+def _pack(idf: np.ndarray, mean: float, window: int, shard_tokens: int):
+    """Over texts in the order of their keys: shards of about ``shard_tokens``, packed one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, shard = None, None
-        for b in batches:
-            for number, doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if number != at:
-                    if shard is not None:
-                        yield from done(at, shard)
-                    at, shard = number, Shard(idf, mean, window)
-                shard.docs.append((doc_id, np.frombuffer(ids.as_py(), np.uint16)))
-        if shard is not None:
-            yield from done(at, shard)
-
-    return run
-
-
-LOW = (1 << 32) - 1
-ROUND = 1 << 17  # seeds of a round times pieces that a task returns for each
-_PLACED = "p long, first long, doc_id long, ids binary"
-_INDEX = "p long, n long, terms binary, pieces binary, owners binary, weights binary, counts binary"
-_ROWS = "p long, start long, length long, sequence_id long, offset long"
-
-
-def _place(window: int):
-    """Numbers texts in the order of doc_id: the partition above, the place in it below.  Whole windows are counted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at, whole = TaskContext.get().partitionId(), 0, 0
-        for b in batches:
-            counts = np.array([len(x.as_buffer()) // 2 // window for x in b.column(1)], np.int64)
-            first = ((part + 1) << 40) + whole + np.cumsum(counts) - counts
-            whole += int(counts.sum())
-            p = (part << 32) + at + np.arange(len(counts))
-            at += len(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(first), b.column(0), b.column(1)], ["p", "first", "doc_id", "ids"])
-
-    return run
-
-
-def _indexed(idf: np.ndarray, mean: float, window: int, shard_tokens: int):
-    """A row of each piece with its terms, and a row (of no p) of each shard with its postings by term."""
-    names = [c.split()[0] for c in _INDEX.split(", ")]
-    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
-
-    def shard(pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = [(p, n, t.tobytes(), None, None, None, None) for p, n, t, _ in pieces]
-        terms = np.concatenate([t for _, _, t, _ in pieces])
-        by_term = np.argsort(terms, kind="stable")
-        owners = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(t) for _, _, t, _ in pieces])[by_term]
-        weights = np.concatenate([w for *_, w in pieces])[by_term]
-        numbers = np.array([p for p, *_ in pieces], np.int64)
-        counts = np.bincount(terms, minlength=TERMS).astype(np.int32)
-        rows.append((None, None, None, numbers.tobytes(), owners.tobytes(), weights.tobytes(), counts.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, total = [], 0
-        for b in batches:
-            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.frombuffer(x.as_buffer(), np.uint16)
-                ids = ids[len(ids) // window * window :]
-                if not len(ids):
-                    continue
-                t, tf = np.unique(ids, return_counts=True)
-                pieces.append((p, len(ids), t, _weights(idf, mean, t, tf, len(ids))))
-                total += len(ids)
-                if total >= shard_tokens:
-                    yield from shard(pieces)
-                    pieces, total = [], 0
-        if pieces:
-            yield from shard(pieces)
-
-    return run
-
-
-def _asked(shared):
-    """Of each query: the best unused pieces of the task's shards, by score and number, and one row more if there is one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, unused, offsets, size = shared.value
-        none = (np.empty(0), np.empty(0, np.int64))
-        best = [none] * len(queries)
-        for b in batches:
-            for pieces, owners, weights, counts in zip(*(c.to_pylist() for c in b.columns)):
-                numbers = np.frombuffer(pieces, np.int64)
-                d = offsets[numbers >> 32] + (numbers & LOW)
-                free = np.flatnonzero(unused[d])
-                if not len(free):
-                    continue
-                owners, weights, counts = np.frombuffer(owners, np.int32), np.frombuffer(weights, np.float32), np.frombuffer(counts, np.int32).astype(np.int64)
-                starts = np.cumsum(counts) - counts
-                # terms of many pieces are summed by a product of matrices, the others by their postings: sums are exact
-                dense = np.flatnonzero(counts * 8 > len(d))[: max(1, (1 << 20) // len(d))]
-                column = np.full(TERMS, -1)
-                column[dense] = np.arange(len(dense))
-                table = np.zeros((len(dense), len(d)))
-                of = ranges(starts[dense], counts[dense])
-                table[np.repeat(np.arange(len(dense)), counts[dense]), owners[of]] = weights[of]
-                table = table[:, free]
-                step = max(1, (1 << 18) // len(d))
-                for at in range(0, len(queries), step):
-                    part = queries[at : at + step]
-                    terms, of = np.concatenate(part), np.repeat(np.arange(len(part)), [len(q) for q in part])
-                    common = column[terms] >= 0
-                    asks = np.zeros((len(part), len(dense)))
-                    asks[of[common], column[terms[common]]] = 1
-                    terms, of = terms[~common], of[~common]
-                    posts = ranges(starts[terms], counts[terms])
-                    places = np.repeat(of * len(d), counts[terms]) + owners[posts]
-                    scores = np.bincount(places, weights[posts], len(part) * len(d)).reshape(len(part), len(d))[:, free] + asks @ table
-                    least = np.array([x[0][-1] if len(x[0]) > size else -1.0 for x in best[at : at + step]])
-                    row, col = np.nonzero(scores >= least[:, None])
-                    bounds = np.searchsorted(row, np.arange(len(part) + 1)).tolist()
-                    for i, (x, y) in enumerate(zip(bounds, bounds[1:]), at):
-                        if x < y:
-                            s, k = np.concatenate([best[i][0], scores[i - at, col[x:y]]]), np.concatenate([best[i][1], d[free[col[x:y]]]])
-                            top = np.lexsort((k, -s))[: size + 1]
-                            best[i] = s[top], k[top]
-        found = [(i, s.tobytes(), k.tobytes()) for i, (s, k) in enumerate(best) if len(s)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), (pa.int64(), pa.binary(), pa.binary()))], ["i", "s", "k"])
-
-    return run
-
-
-def merged(lists: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, bool]:
-    """Pieces of the lists of all tasks as far as none that was not returned can come between, and whether these are all."""
-    if not lists:
-        return np.empty(0, np.int64), True
-    s, k = np.concatenate([x for x, _ in lists]), np.concatenate([x for _, x in lists])
-    order = np.lexsort((k, -s))
-    ends = np.cumsum([len(x) for x, _ in lists]) - 1
-    cut = [e for e, (x, _) in zip(ends.tolist(), lists) if len(x) > size]
-    if not cut:
-        return k[order], True
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return k[order[: place[cut].min() + 1]], False
-
-
-def _in_rounds(index: DataFrame, window: int) -> list[DataFrame]:
-    """Tables of what stands where (_ROWS) of all pieces of the index."""
-    spark = index.sparkSession
-    known = index.where("p IS NOT NULL").select("p", "n").toArrow()
-    p, n = known["p"].to_numpy(), known["n"].to_numpy()
-    sizes = np.zeros(int(p.max() >> 32) + 1 if len(p) else 0, np.int64)
-    np.maximum.at(sizes, p >> 32, (p & LOW) + 1)
-    offsets = np.cumsum(sizes) - sizes
-    d = offsets[p >> 32] + (p & LOW)
-    end, number = np.zeros(sizes.sum(), np.int64), np.zeros(sizes.sum(), np.int64)
-    end[d], number[d] = n, p
-    begin, unused = np.zeros_like(end), end > 0
-    seeds = np.flatnonzero(unused)
-    seeds = seeds[np.argsort(-end[seeds], kind="stable")]
-    rest, sequences, block, size = int(end.sum()), 0, 256, 32
-    rows, tables = [], []
-
-    def put(k: int, room: int, fit: int) -> int:
-        nonlocal rest
-        take = min(room, int(end[k] - begin[k]))
-        rows.append((int(number[k]), int(begin[k]), take, sequences, fit - room))
-        begin[k] += take
-        unused[k] = begin[k] < end[k]
-        rest -= take
-        return room - take
-
-    def flush(least: int) -> None:
-        if len(rows) > least:
-            columns = [c.split()[0] for c in _ROWS.split(", ")]
-            tables.append(keep(spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in zip(*rows)], columns)), "packed"))
-            rows.clear()
-
-    while rest >= window:
-        seeds = seeds[unused[seeds]]
-        asked = seeds[: min(block, max(1, ROUND // size), rest // window)]
-        wanted = spark.createDataFrame(pa.table([pa.array(number[asked]), pa.array(np.arange(len(asked)))], ["p", "i"]))
-        terms = index.where("p IS NOT NULL").select("p", "terms").join(F.broadcast(wanted), "p").select("i", "terms").toArrow()
-        queries = [np.empty(0, np.uint16)] * len(asked)
-        for i, t in zip(terms["i"].to_pylist(), terms["terms"].to_pylist()):
-            queries[i] = np.frombuffer(t, np.uint16)
-        shared = spark.sparkContext.broadcast((queries, unused, offsets, size))
-        answers: list[list] = [[] for _ in queries]
-        found = index.where("p IS NULL").select("pieces", "owners", "weights", "counts").mapInArrow(_asked(shared), "i long, s binary, k binary").toArrow()
-        for i, s, k in zip(*(found[c].to_pylist() for c in ("i", "s", "k"))):
-            answers[i].append((np.frombuffer(s), np.frombuffer(k, np.int64)))
-        shared.destroy()
-        done = 0
-        for seed, lists in zip(asked.tolist(), answers):
-            if unused[seed]:
-                others, complete = merged(lists, size)
-                others = others[unused[others] & (others != seed)]
-                if not complete and end[seed] - begin[seed] + (end[others] - begin[others]).sum() < window:
-                    break  # later pieces may come from anywhere: ask again
-                if rest < window:
-                    break
-                room = put(seed, window, window)
-                for k in others.tolist():
-                    if not room:
-                        break
-                    room = put(k, room, window)
-                sequences += 1
-            done += 1
-        if done == len(asked):
-            block = min(2 * block, 4096)
-        elif done < len(asked) // 2 or not done:
-            size, block = 2 * size, max(64, block // 2)
-        flush(1 << 18)
-    left = seeds[unused[seeds]].tolist()
-    while rest:  # less than a window: powers of two
-        room = fit = 1 << (rest.bit_length() - 1)
-        while room:
-            room = put(left[0], room, fit)
-            if not unused[left[0]]:
-                left.pop(0)
-        sequences += 1
-    flush(0)
-    return tables
-
-
-def _whole(window: int):
-    """Whole windows of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, doc_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                ids = np.frombuffer(x.as_buffer(), np.uint16)
-                rows = [
-                    (doc_id, k * window, window, ids[k * window : (k + 1) * window].astype("<u4").tobytes(), len(ids), first + k, 0)
-                    for k in range(len(ids) // window)
-                ]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _KINDS)], [c.split()[0] for c in _OUT.split(", ")])
-
-    return run
-
-
-def _cut(window: int):
-    """Rows of packed pieces with the ids of their texts: starts count from the last whole window on."""
+        sequences = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        sizes: list[int] = []
+
+        def done(k: int) -> Iterator[pa.RecordBatch]:
+            nonlocal sequences
+            shard = Shard(held[:k], idf, mean, window)
+            shard.pack()
+            for at in range(0, len(shard.rows), 2000):
+                rows = [(*r[:3], r[3].astype("<u4").tobytes(), r[4], sequences + r[5], r[6]) for r in shard.rows[at : at + 2000]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _KINDS)], [c.split()[0] for c in _OUT.split(", ")])
+            sequences += shard.sequences
+            del held[:k], sizes[:k]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part, rows = b.slice(at, 500), []
-                numbers = (c.to_pylist() for i, c in enumerate(part.columns) if i != 1)
-                for doc_id, start, length, sequence_id, offset, x in zip(*numbers, part.column(1)):
-                    ids = np.frombuffer(x.as_buffer(), np.uint16)
-                    start += len(ids) // window * window
-                    rows.append((doc_id, start, length, ids[start : start + length].astype("<u4").tobytes(), len(ids), sequence_id, offset))
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _KINDS)], [c.split()[0] for c in _OUT.split(", ")])
+            for doc_id, x in zip(b.column(0).to_pylist(), b.column(1)):
+                held.append((doc_id, np.frombuffer(x.as_py(), np.uint16)))
+                sizes.append(len(held[-1][1]))
+                total += sizes[-1]
+                if total >= 3 * shard_tokens // 2 and len(held) > 1:  # so the last shard is no small one
+                    k = max(1, int(np.searchsorted(np.cumsum(sizes), shard_tokens)))
+                    total -= sum(sizes[:k])
+                    yield from done(k)
+        if held:
+            yield from done(len(held))
 
     return run
 
@@ -432,27 +284,19 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: in
         raise ValueError("the window must be a power of two")
     spark = docs.sparkSession
     d = pick(docs, doc_id="long", text="string").withColumn("text", text_of(F.col("text")))
-    ids = keep(d.mapInArrow(_tokens(tokenizer), "doc_id long, nth long, n long, ids binary"), "ids")
-    total, texts = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    made = keep(d.mapInArrow(_tokens(tokenizer), _IDS), "ids")
+    ids = made.where("nth is not null").select("doc_id", "nth", "ids")
+    total, texts = ids.agg(F.coalesce(F.sum(F.octet_length("ids") / 2), F.lit(0)), F.count("*")).first()
     # one number for each id of a vocabulary of 16 bits at most
-    counts = ids.select("ids").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = made.where("df is not null").select(F.posexplode("df").alias("term", "n")).where("n > 0")
+    counts = seen.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(TERMS)
     df[counts["term"].to_numpy()] = counts["n"].to_numpy()
-    idf = np.log1p((texts - df + 0.5) / (df + 0.5)).astype(np.float32)
+    idf = np.log1p((texts - df + 0.5) / (df + 0.5))
+    mean = total / max(1, texts)
     shards = max(1, round(total / shard_tokens))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    mean = total / max(1, texts)
-    if shards == 1:
-        rows = ids.select(F.lit(0).alias("shard"), "doc_id", "ids").repartition(1).sortWithinPartitions("doc_id")
-        return rows.mapInArrow(_pack(idf, mean, window), _OUT)
-    ordered = ids.repartitionByRange(n, "doc_id", "nth").sortWithinPartitions("doc_id", "nth").select("doc_id", "ids")
-    placed = keep(ordered.mapInArrow(_place(window), _PLACED), "placed")
-    drop(ids)
-    index = keep(placed.select("p", "ids").mapInArrow(_indexed(idf, mean, window, shard_tokens), _INDEX), "index")
-    tables = _in_rounds(index, window)
-    drop(index)
-    out = placed.select("first", "doc_id", "ids").mapInArrow(_whole(window), _OUT)
-    if tables:
-        packed = reduce(DataFrame.unionAll, tables).join(placed.select("p", "doc_id", "ids"), "p")
-        out = out.unionAll(packed.select("doc_id", "ids", "start", "length", "sequence_id", "offset").mapInArrow(_cut(window), _OUT))
-    return out
+    keyed = ids.mapInArrow(_keyed(idf, mean, window), "key long, doc_id long, nth long, ids binary")
+    order = ("key", "doc_id", "nth")
+    dealt = keyed.repartitionByRange(min(shards, max(n, shards // 64)), *order) if shards > 1 else keyed.coalesce(1)
+    return dealt.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(_pack(idf, mean, window, shard_tokens), _OUT)

@@ -150,13 +150,21 @@ def test_packing(odd, docs, shard_tokens):
     assert packing.pack(odd.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_word_tokens_of_all_planes():
+    rng = random.Random(5)
+    pools = [range(0x20, 0x7F)] * 4 + [range(0xA0, 0x250), range(0x20), range(0x250, 0x3000), range(0x3000, 0x20000), [0x130, 0x31E, 0x301, 0x49, 0xD7, 0xF7, 0x1C, 0x85, 0xA0, 0x2028, 0x200B, 0x16EB4]]
+    texts = ["".join(chr(c) for c in (rng.choice(rng.choice(pools)) for _ in range(rng.randrange(1, 14))) if not 0xD800 <= c < 0xE000) for _ in range(8000)]
+    texts += ["ab" * 30_000, "x" * 70 + " " + "y" * 64, ",'s ''re x'sd"]
+    w = word_tokens.WordTokens(vocabulary("word_bpe_49k.json"), cache_size=3000)
+    for x, ids, e in zip(texts, w.encode(texts), w.library.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, np.uint16).tolist() == e.ids, ascii(x[:50])
+
+
 def test_packing_puts_neighbours_together():
     rng = np.random.default_rng(1)
-    idf = np.ones(packing.TERMS, np.float32)
-    shard = packing.Shard(idf, 100.0, 256)
     topics = [rng.choice(1000, 40, replace=False) + 1000 * k for k in range(4)]
-    for i in range(48):  # three windows of each topic
-        shard.docs.append((i % 4, rng.choice(topics[i % 4], 64).astype(np.uint16)))
+    docs = [(i % 4, rng.choice(topics[i % 4], 64).astype(np.uint16)) for i in range(48)]  # three windows of each topic
+    shard = packing.Shard(docs, np.ones(packing.TERMS), 100.0, 256)
     shard.pack()
     by: dict = {}
     for r in shard.rows:
@@ -164,27 +172,44 @@ def test_packing_puts_neighbours_together():
     assert np.mean([len(set(v)) == 1 for v in by.values()]) > 0.9
 
 
-@pytest.mark.parametrize("copies", [1, 40])
-def test_packing_meets_the_whole_corpus(spark, docs, copies):
-    """Windows of an index of many shards are those of one index over everything."""
-    few = docs.orderBy("doc_id").limit(120).select("doc_id", "text")
-    more = few.orderBy("doc_id").limit(2).crossJoin(spark.range(1, copies)).selectExpr("doc_id + 1000000 * id AS doc_id", "text")
-    table = few.unionByName(more).localCheckpoint()
-    found = []
-    for shard_tokens in (3000, 1 << 30):
-        rows = packing.pack(table, vocabulary("word_bpe_49k.json"), window=1024, shard_tokens=shard_tokens).collect()
-        by: dict = {}
-        for r in rows:
-            by.setdefault(r.sequence_id, []).append((r.offset, r.doc_id, r.start, r.length, bytes(r.ids)))
-        found.append(sorted(sorted(v) for v in by.values()))
-    assert found[0] == found[1]
+def test_packing_scores_are_bm25():
+    rng = np.random.default_rng(2)
+    own = [rng.integers(0, 400, n).astype(np.uint16) for n in rng.integers(1, 300, 60)]
+    df = np.zeros(packing.TERMS)
+    for x in own:
+        df[np.unique(x)] += 1
+    idf, mean = np.log1p((60 - df + 0.5) / (df + 0.5)), float(np.mean([len(x) for x in own]))
+    shard = packing.Shard([(i, x) for i, x in enumerate(own)], idf, mean, 1 << 12)
+    shard._index(list(range(60)), [0] * 60)
+    got = shard.scores(np.arange(60), 60)
+    for q, x in enumerate(own):
+        for d, y in enumerate(own):
+            tf = [(t, int((y == t).sum())) for t in set(x.tolist())]
+            plain = sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(y) / mean)) for t, n in tf)
+            assert abs(got[q, d] - plain) < 1e-2
+
+
+def test_packing_shards_by_content():
+    """Copies and near copies share a first key term however many texts stand between them; the order of rows does not matter."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 40_000, 200).astype(np.uint16) for _ in range(400)]
+    near = [np.where(rng.random(200) < 0.05, rng.integers(0, 40_000, 200), x).astype(np.uint16) for x in texts]
+    every = [*texts, *texts, *near]
+    idf = np.ones(packing.TERMS)
+    keys = packing.keys_of(np.concatenate(every), np.array([200] * 1200), idf, 200.0)
+    assert (keys[:400] == keys[400:800]).all()
+    first = keys >> 16 * (packing.KEY_TERMS - 1)
+    assert (first[:400] == first[800:]).mean() > 0.8
+    assert len(np.unique(first[:400])) > 200
+    assert (packing.keys_of(np.concatenate(every[::-1]), np.array([200] * 1200), idf, 200.0)[::-1] == keys).all()
+    assert packing.keys_of(np.empty(0, np.uint16), np.array([0, 0]), idf, 1.0).tolist() == [0, 0]
 
 
 def test_packing_ranks_by_all_terms():
     """A piece that shares only light terms of a long seed comes before one that shares none."""
-    shard = packing.Shard(np.ones(packing.TERMS, np.float32), 100.0, 256)
     rare = np.repeat(np.arange(100, 130), 4)
-    shard.docs += [(0, np.concatenate([rare, np.arange(10, 70)]).astype(np.uint16)), (1, np.arange(2000, 2076).astype(np.uint16)), (2, np.arange(10, 70).astype(np.uint16))]
+    docs = [(0, np.concatenate([rare, np.arange(10, 70)]).astype(np.uint16)), (1, np.arange(2000, 2076).astype(np.uint16)), (2, np.arange(10, 70).astype(np.uint16))]
+    shard = packing.Shard(docs, np.ones(packing.TERMS), 100.0, 256)
     shard.pack()
     assert [r[0] for r in shard.rows][:2] == [0, 2]
 
