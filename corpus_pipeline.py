@@ -31,9 +31,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out what is covered by strings of 200 bytes that start anywhere else too, by whole characters."""
-    cut = remove_repeats(docs, carry=("lang", "source"))
-    return cut.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
+    """Cuts out what is covered by strings of 200 bytes that start anywhere else too, by whole characters.
+
+    Every row and every column stays; n_chars, where there is one, counts what is left.
+    """
+    own = {c.lower(): c for c in docs.columns}
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_chars")]
+    more = "c" + "_" * max(map(len, docs.columns))  # a name that no column has
+    d = docs.select("doc_id", "text", F.struct(F.lit(0).alias("no"), *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(others)]).alias(more))
+    cut = remove_repeats(d, carry=(more,))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    made = {own[k]: c for k, c in made.items() if k in own} | {c: F.col(more)[f"c{i}"] for i, c in enumerate(others)}
+    return cut.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
