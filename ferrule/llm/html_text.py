@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +55,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<svg(?=[\s/])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"
-    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    # a quote that nothing closes is a character like any other
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>])*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -102,6 +104,7 @@ class Page:
         self.kinds: list[tuple[bool, str, bool, bool]] = [(False, "", False, False)]
         self.nodes: list[tuple[int, int, str]] = []  # block, path, text
         self.open: list[tuple[str, int]] = [("", 0)]
+        self.opened: Counter = Counter()  # tags of self.open
         self.block = 0
         at = 0
         for m in _TAG.finditer(source):
@@ -119,13 +122,18 @@ class Page:
             self.nodes.append((self.block, self.open[-1][1], html.unescape(raw) if "&" in raw else raw))
 
     def _close(self, k: int) -> None:
+        self.opened.subtract(tag for tag, _ in self.open[k:])
         del self.open[k:]
 
+    def _push(self, tag: str, path: int) -> None:
+        self.opened[tag] += 1
+        self.open.append((tag, path))
+
     def _start(self, tag: str, rest: str) -> None:
         if tag not in INLINE:
             self.block += 1
             closes, until = IMPLIED.get(tag, ({"p"}, {"table", "td", "th", "button", "li", "article", "section", "div", "body"}))
-            for k in range(len(self.open) - 1, 0, -1):
+            for k in range(len(self.open) - 1, 0, -1) if any(self.opened[c] > 0 for c in closes) else ():
                 name = self.open[k][0]
                 if name in closes:
                     self._close(k)
@@ -138,8 +146,7 @@ class Page:
             return
         parent = self.open[-1][1]
         if tag in MATHS:  # a formula is text of what it stands in
-            if len(self.open) < 4096:
-                self.open.append((tag, parent))
+            self._push(tag, parent)
             return
         hint = _hint(tag, rest, self.kinds[parent][2])
         key = (parent, f"{tag}.{hint}" if hint else tag)
@@ -153,14 +160,12 @@ class Page:
             # an article's own header holds its heading
             bad = bad or tag in FURNITURE or (tag == "header" and not inside)
             self.kinds.append((bad, hinted, inside or tag in MAIN, link or tag == "a"))
-        self.open.append((tag, self.paths[key]))
-        if len(self.open) > 4096:  # deeper tags are not told apart
-            self.open.pop()
+        self._push(tag, self.paths[key])
 
     def _end(self, tag: str, rest: str) -> None:
         if tag not in INLINE:
             self.block += 1
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self.opened[tag] > 0 else ():
             if self.open[k][0] == tag:
                 self._close(k)
                 return
@@ -182,12 +187,12 @@ class Page:
         count = np.maximum(np.bincount(path, minlength=n), 1)
         fused = np.zeros(n)
         good = ~bad[path]  # furniture next to a node does not raise it
-        near = np.convolve(good.astype(float), KERNEL, "same")[: len(path)] if len(path) >= len(KERNEL) else np.ones(len(path))
+        smoothed = lambda x: np.convolve(x, KERNEL)[len(KERNEL) // 2 :][: len(path)]
+        near = smoothed(good.astype(float))  # what there is of a kernel at the edges
         parts = []
         for amount in (chars, marks):
             ratio = (np.bincount(path, amount, n) / count)[path] * good
-            smooth = np.convolve(ratio, KERNEL, "same") if len(path) >= len(KERNEL) else ratio
-            parts.append(np.bincount(path, np.maximum(ratio, smooth / np.maximum(near, 1e-9)), n) / count)
+            parts.append(np.bincount(path, np.maximum(ratio, smoothed(ratio) / np.maximum(near, 1e-9)), n) / count)
         fused = np.log1p(parts[0]) * (1 + 0.25 * np.log1p(parts[1]))
         fused[bad | (np.bincount(path, chars, n) == 0)] = 0
         fused[link] *= LINKED
