@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.columns import pick
 
-#: Products below this are exact in a float.
-EXACT = 2.0**53
+#: Products below these are exact in a float, and in a long.
+EXACT, LONG = 1 << 53, 1 << 63
 FIRST_STEP = 32
 
 
@@ -44,7 +44,7 @@ class Block:
         n = len(self.ids)
         up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
         seen = self.ids == own
-        rows, scores = np.empty(0, np.int64), np.empty(0)
+        rows, scores = np.empty(0, np.int64), np.empty(0, self.vectors.dtype)
         depth, step = 0, FIRST_STEP
         while depth < n:
             upto = min(n, depth + step)
@@ -72,10 +72,10 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of vectors; a shorter one is filled up with zeros."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.asarray(flat.value_lengths())
-    values = np.asarray(flat.flatten()).astype(np.float64)
+    values = np.asarray(flat.flatten()).astype(np.int64)
     if len(sizes) and (sizes == width).all():
         return values.reshape(len(sizes), width)
-    out = np.zeros((len(sizes), width))
+    out = np.zeros((len(sizes), width), np.int64)
     out[np.arange(width) < sizes[:, None]] = values
     return out
 
@@ -87,7 +87,8 @@ def exact_top_k(candidates: DataFrame, is_query: Column, k: int = 5, block_rows:
     its own, fewer rows than k are all returned.  Shorter vectors count as filled up with zeros.  Repeated
     candidates each take a place; repeated queries are answered once, those of one id but other vectors apart
     (query_id then repeats).  An empty table gives an empty result; null ids and vectors must be gone
-    (``whole_vectors``).  Scores that a float can't hold exactly raise an error.
+    (``whole_vectors``).  Products are floats, longs or whole numbers of any size, whichever holds a block's sums exactly;
+    only a score among the k best that is no long raises an error.
     """
     every = pick(candidates, vec_id="long", vec="array<long>")
     asked = every.where(is_query).dropDuplicates(["vec_id", "vec"]).withColumn("key", F.xxhash64("vec"))
@@ -103,12 +104,13 @@ def exact_top_k(candidates: DataFrame, is_query: Column, k: int = 5, block_rows:
         if have.num_rows and want.num_rows:
             width = max(int(np.max(np.asarray(t["vec"].combine_chunks().value_lengths()))) for t in (have, want))
             c, q = _matrix(have["vec"], width), _matrix(want["vec"], width)
-            if width and np.abs(c).max() * np.abs(q).max() * width >= EXACT:
-                raise OverflowError("inner products too large to be exact")
+            most = max(map(abs, (int(c.min()), int(c.max())))) * max(map(abs, (int(q.min()), int(q.max())))) * width if width else 0
+            # whole numbers of any size where a long does not hold all sums
+            c, q = (x.astype(np.float64 if most < EXACT else np.int64 if most < LONG else object) for x in (c, q))
             block = Block(have["vec_id"].to_numpy(), c)
             for own, key, v in zip(want["vec_id"].to_pylist(), want["key"].to_pylist(), q):
                 ids, scores = block.best(own, v, k)
-                out += [(own, key, i, s) for i, s in zip(ids.tolist(), scores.astype(np.int64).tolist())]
+                out += [(own, key, i, int(s)) for i, s in zip(ids.tolist(), scores.tolist())]
         cols = list(zip(*out)) or [[], [], [], []]
         return pa.table([pa.array(x, pa.int64()) for x in cols], names=["query_id", "key", "vec_id", "score"])
 
