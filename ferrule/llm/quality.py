@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.columns import pick, text_of
 from ferrule.llm.hashing import Spans, mix
+from ferrule.llm.memory import tidy
 
 BITS = 18
 BYTE_GRAMS = (1, 2, 3, 4)
 SHAPE_GRAMS = (1, 2, 3)
-#: Bytes of text hashed at once; a longer text is read in pieces that overlap by an n-gram.
+#: Bytes of text hashed at once; the pieces of a longer text overlap, so it has the features that it would have in one.
 PIECE = 1 << 18
 
 _KIND = np.zeros(256, np.uint64)  # of bytes: small, capital, digit, mark, beyond ASCII
@@ -51,19 +52,29 @@ def _shapes(data: np.ndarray) -> np.ndarray:
     return held | (kinds[starts] << np.uint64(4)) | (same << np.uint64(8)) | (size << np.uint64(9)) | (last << np.uint64(12))
 
 
+def _mark(seen: np.ndarray, source: Spans, kind: int, sizes: tuple[int, ...]) -> None:
+    for n in sizes:
+        h = source.hash_windows(n)
+        seen[(h + np.uint64(0x9E37 * (8 * kind + n))) >> np.uint64(64 - BITS)] = True
+
+
 def features(text: str) -> np.ndarray:
     """The buckets of a text's n-grams, ascending, each once."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     seen = np.zeros(1 << BITS, bool)
     reach = max(BYTE_GRAMS)
     for at in range(0, len(data), PIECE):
-        piece = data[at : at + PIECE + reach - 1]
-        spans = Spans(piece)
-        shapes = Spans(_shapes(data[at : at + PIECE]))
-        for kind, source, sizes in ((0, spans, BYTE_GRAMS), (1, shapes, SHAPE_GRAMS)):
-            for n in sizes:
-                h = source.hash_windows(n)
-                seen[(h + np.uint64(0x9E37 * (8 * kind + n))) >> np.uint64(64 - BITS)] = True
+        _mark(seen, Spans(data[at : at + PIECE + reach - 1]), 0, BYTE_GRAMS)
+    word = np.concatenate([[False], data > 32, [False]]).astype(np.int8)
+    edges = np.diff(word)
+    starts, ends = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
+    i, tail = 0, np.empty(0, np.uint64)
+    while i < len(starts):  # pieces of whole words, each with the last word of the one before
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
+        shapes = _shapes(data[starts[max(0, i - 1)] : ends[j - 1]])
+        tail = np.concatenate([tail, shapes[1:] if i else shapes])
+        _mark(seen, Spans(tail), 1, SHAPE_GRAMS)
+        tail, i = tail[-max(SHAPE_GRAMS) :], j
     return np.flatnonzero(seen).astype(np.int32)
 
 
@@ -168,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000) -> Model:
 
     # the sample is bounded, so it goes to the documents, not they to it
     picked = d.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", text_of(F.col("text")).alias("text"))
-    found = picked.mapInArrow(run, "doc_id long, quality int, x array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    picked = picked.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # of repeated ids one text
+    found = picked.mapInArrow(tidy(run), "doc_id long, quality int, x array<int>").toArrow().sort_by([("doc_id", "ascending")])
     rows = [np.asarray(v.values, dtype=np.int32) for v in found["x"]] if found.num_rows else []
     return fit(rows, found["quality"].to_numpy() > 0)
 
@@ -194,7 +206,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample_
             )
 
     rows = d.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), text_of(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample_rows: int = 3000) -> DataFrame:
@@ -210,4 +222,4 @@ def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample_rows:
         for b in batches:
             yield b.filter(pa.array([m.score(features(t.as_py() or "")) >= cut for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
