@@ -11,6 +11,7 @@ never the answer.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,15 +20,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.columns import pick, text_of
+from ferrule.llm.memory import cache, tidy
 from ferrule.llm.store import drop, keep
 
 #: How a byte-level pre-tokenizer with its own pattern splits (a fixed value of the vocabulary's format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Blocks whose classes all versions of the character tables agree on (fixed values: Latin, Greek, Cyrillic, marks, kana, Han, Hangul).
+_AGREED = "\x00-\u024f\u0391-\u03a1\u03a3-\u03e1\u0400-\u0481\u2010-\u2027\u2030-\u205e\u20a0-\u20ac\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: Where a text can be cut whatever stands around: before the space between two plain words.
+_CUT = re.compile("(?<=[A-Za-z])(?= [A-Za-z])")
 #: Characters of a pre-token of the table at most.
 LONGEST = 64
 
 _workers: dict[str, "TwoTier"] = {}
+cache("token counts", _workers.clear)
 
 
 class TwoTier:
@@ -53,6 +60,7 @@ class TwoTier:
         self.library.no_truncation()
         self.library.no_padding()
         self.split = regex.compile(PATTERN).findall
+        self.odd = re.compile(f"[^{_AGREED}]").search
         # longest first, as the library prefers among added tokens at one place
         names = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
@@ -63,14 +71,22 @@ class TwoTier:
         return self.special.split(text) if self.special is not None and self.special.search(text) else [text]
 
     def pieces(self, text: str) -> tuple[Counter, int]:
-        """Pre-tokens with their counts, and how many special tokens the text holds."""
+        """Pre-tokens with their counts, and how many tokens there are besides."""
         parts = self.parts(text)
-        if len(parts) > 1:
-            found: Counter = Counter()
-            for p in parts:
+        if len(parts) == 1 and self.odd(text) is None:
+            return Counter(self.split(text)), 0
+        found: Counter = Counter()
+        extra = len(parts) - 1
+        for p in parts:
+            if self.odd(p) is None:
                 found.update(self.split(p))
-            return found, len(parts) - 1
-        return Counter(self.split(text)), 0
+                continue
+            for q in _CUT.split(p):  # what the tables may class differently is left to the library
+                if self.odd(q) is None:
+                    found.update(self.split(q))
+                else:
+                    extra += len(self.library.encode(q, add_special_tokens=False))
+        return found, extra
 
     def count(self, text: str) -> int:
         found, total = self.pieces(text)
@@ -124,7 +140,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, sample_rows: i
     texts = docs.select(text_of(docs["text"]).alias("text"))
     if sample_rows is not None:
         texts = texts.limit(sample_rows)
-    counts = keep(texts.mapInArrow(_counted(path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    counts = keep(texts.mapInArrow(tidy(_counted(path), "token counts"), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
     # the least count of which all pieces fit, so that the driver gets no more than the table
     least, total = None, 0
     for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
@@ -160,4 +176,4 @@ def token_counts(
 
     text = text_of(docs["text"])
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(count, "token counts"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
