@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.columns import pick, text_of
+from ferrule.llm.memory import tidy
 from ferrule.llm.pieces import Pieces, combine, worker
 from ferrule.llm.store import keep
 
@@ -105,15 +106,17 @@ def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 <<
     table gives an empty result.
     """
     d = pick(docs, doc_id="long", text="string").withColumn("text", text_of(F.col("text")))
-    usual = d.where(F.char_length("text") <= giant).mapInArrow(_whole(model), "doc_id long, ids array<int>")
+    usual = d.where(F.char_length("text") <= giant).mapInArrow(tidy(_whole(model), "pieces"), "doc_id long, ids array<int>")
     # written once: rows are numbered in it
-    chunks = keep(d.where(F.char_length("text") > giant).mapInArrow(_cut(model, chunk), _CHUNKS), "chunks")
+    chunks = keep(d.where(F.char_length("text") > giant).mapInArrow(tidy(_cut(model, chunk), "pieces"), _CHUNKS), "chunks")
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = chunks.select("row", "k", "text", "left", "right").repartition(n, "row", "k")
-    matrices = spread.mapInArrow(_transfers(model), "row long, k int, width int, m binary")
+    matrices = spread.mapInArrow(tidy(_transfers(model), "pieces"), "row long, k int, width int, m binary")
     ends = matrices.groupBy("row").applyInArrow(_combined, "row long, k int, from_state int, to_state int")
     work = chunks.join(ends, ["row", "k"]).select("row", "doc_id", "k", "text", "left", "right", "from_state", "to_state")
-    parts = work.mapInArrow(_backtraces(model), "row long, doc_id long, k int, ids array<int>")
+    # dealt out again: the join leaves the few rows in as few tasks
+    work = work.repartition(n, "row", "k")
+    parts = work.mapInArrow(tidy(_backtraces(model), "pieces"), "row long, doc_id long, k int, ids array<int>")
     joined = parts.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     return usual.unionByName(joined.select("doc_id", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids")))
 
@@ -129,4 +132,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 texts = [p.decode(np.asarray(x.values).tolist() if x.is_valid else []) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return pick(encoded, doc_id="long", ids="array<int>").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return pick(encoded, doc_id="long", ids="array<int>").mapInArrow(tidy(run, "pieces"), "doc_id long, ids array<int>, text string")
