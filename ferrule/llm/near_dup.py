@@ -19,13 +19,15 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.llm.bagminhash import signatures
 from ferrule.llm.columns import pick, text_of
 from ferrule.llm.components import components
-from ferrule.llm.hashing import Spans, mix, ranges, text_parts
+from ferrule.llm.hashing import Spans, in_chunks, mix, ranges, text_parts
+from ferrule.llm.memory import tidy
 from ferrule.llm.shingles import bags, normal, shingle_hashes
 from ferrule.llm.store import drop, keep
 
@@ -87,24 +89,32 @@ _COMPARED = "node long, lead long, sim double, size long, missing long, beyond l
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members with their leaders: similarity, the leader's size, and the differences."""
-    for b in batches:
-        known: dict[int, Bag] = {}
+    known: dict[int, Bag] = {}
+    held = 0
+
+    def bag(node: int, text: str) -> Bag:
+        nonlocal held
+        if node not in known:
+            if held >= CHUNK:
+                known.clear()
+                held = 0
+            known[node] = bags(*shingle_hashes([normal(text)]))[:2]
+            held += len(known[node][0])
+        return known[node]
 
-        def bag(node: int, text: str) -> Bag:
-            if node not in known:
-                if len(known) >= 256:
-                    known.clear()
-                known[node] = bags(*shingle_hashes([normal(text)]))[:2]
-            return known[node]
+    for b in batches:
 
-        out = []
-        for node, lead, t1, t2 in zip(*(c.to_pylist() for c in b.columns)):
-            other = bag(lead, t2)
-            size = int(other[1].sum())
-            missing, beyond, names = differences(bag(node, t1), other)
-            out.append((node, lead, (size - missing) / (size + beyond), size, missing, beyond, names.tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [[]] * 7, kinds)], [c.split()[0] for c in _COMPARED.split(", ")])
+        sizes = [x + y for x, y in zip(*(pc.binary_length(b.column(i)).to_pylist() for i in (2, 3)))]
+        for part in in_chunks(sizes, CHUNK):
+            out = []
+            for row in range(part.start, part.stop):
+                node, lead = b.column(0)[row].as_py(), b.column(1)[row].as_py()
+                other = bag(lead, b.column(3)[row].as_py())
+                size = int(other[1].sum())
+                missing, beyond, names = differences(bag(node, b.column(2)[row].as_py()), other)
+                out.append((node, lead, (size - missing) / (size + beyond), size, missing, beyond, names.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], [c.split()[0] for c in _COMPARED.split(", ")])
 
 
 def links_in_block(nodes: list[int], far: list[bool], size: int, missing: np.ndarray, beyond: np.ndarray, names: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -146,11 +156,11 @@ def _among(threshold: float):
 
         def done() -> pa.RecordBatch:
             nodes, sims, sizes, missing, beyond, names = zip(*rows)
-            found = links_in_block(list(nodes), [s < threshold for s in sims], sizes[0], np.array(missing), np.array(beyond), [np.frombuffer(x, np.uint64) for x in names], threshold)
+            found = links_in_block(list(nodes), [s < threshold for s in sims], sizes[0], np.array(missing), np.array(beyond), [np.frombuffer(x.as_buffer(), np.uint64) for x in names], threshold)
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for key, *row in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), *(batch.column(i).to_pylist() for i in range(3, 9))):
+            for key, *row in zip(zip(*(batch.column(i).to_pylist() for i in range(3))), *(batch.column(i).to_pylist() for i in range(3, 8)), batch.column(8)):
                 if key != at:
                     if len(rows) > 1:
                         yield done()
@@ -174,7 +184,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     """
     d = pick(docs, doc_id="long", text="string").withColumn("text", text_of(F.col("text")))
     n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    signed = keep(d.mapInArrow(_sign(bands, rows), "doc_id long, k1 long, k2 long, bands array<long>"), "signed")
+    signed = keep(d.mapInArrow(tidy(_sign(bands, rows)), "doc_id long, k1 long, k2 long, bands array<long>"), "signed")
     known = signed.where("doc_id is not null")
     first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     members = keep(known.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "node"), "members")
@@ -190,7 +200,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     left = texts.select("node", F.col("text").alias("t1"))
     right = texts.select(F.col("node").alias("lead"), F.col("text").alias("t2"))
     both = pairs.join(left, "node").join(right, "lead").select("node", "lead", "t1", "t2")
-    compared = keep(both.mapInArrow(_compare, _COMPARED), "compared")
+    compared = keep(both.mapInArrow(tidy(_compare), _COMPARED), "compared")
     drop(texts)
     drop(entries)
     links = compared.where(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("lead").alias("b"))
@@ -204,14 +214,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "sim", "size", "missing", "beyond", "names")
     work = work.repartition(n_parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-    links = links.unionByName(work.mapInArrow(_among(threshold), "a long, b long"))
+    links = links.unionByName(work.mapInArrow(tidy(_among(threshold)), "a long, b long"))
 
     found = components(links)
     named = members.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     # rows of one doc_id share the smallest class
     classes = named.groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("class_id"), F.count("*").alias("copies"))
     rows_out = classes.select("doc_id", "class_id", F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("x")).drop("x")
-    return rows_out.unionByName(signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    out = keep(rows_out.unionByName(signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))), "classes")
+    for table in (signed, members, compared):
+        drop(table)
+    return out
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -223,5 +236,6 @@ def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = kept.where("doc_id is not null").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    free = "n" + "_" * max(map(len, docs.columns))  # a name that no column has
+    named = kept.where("doc_id is not null").withColumn(free, nth).where(F.col(free) == 1).drop(free)
     return named.unionByName(docs.where("doc_id is null"))

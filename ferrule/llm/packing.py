@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.columns import pick, text_of
 from ferrule.llm.hashing import in_chunks, mix, ranges
-from ferrule.llm.store import drop, keep
+from ferrule.llm.memory import tidy
+from ferrule.llm.store import keep
 from ferrule.llm.word_tokens import worker
 
 WINDOW = 4096
@@ -271,7 +272,7 @@ def _pack(idf: np.ndarray, mean: float, window: int, shard_tokens: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = 1 << 21) -> DataFrame:
     """Pieces of packed sequences of all rows of ``docs`` (doc_id, text).
 
     Returns doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset: ids
@@ -284,7 +285,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: in
         raise ValueError("the window must be a power of two")
     spark = docs.sparkSession
     d = pick(docs, doc_id="long", text="string").withColumn("text", text_of(F.col("text")))
-    made = keep(d.mapInArrow(_tokens(tokenizer), _IDS), "ids")
+    made = keep(d.mapInArrow(tidy(_tokens(tokenizer), "word tokens"), _IDS), "ids")
     ids = made.where("nth is not null").select("doc_id", "nth", "ids")
     total, texts = ids.agg(F.coalesce(F.sum(F.octet_length("ids") / 2), F.lit(0)), F.count("*")).first()
     # one number for each id of a vocabulary of 16 bits at most
@@ -296,7 +297,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: in
     mean = total / max(1, texts)
     shards = max(1, round(total / shard_tokens))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = ids.mapInArrow(_keyed(idf, mean, window), "key long, doc_id long, nth long, ids binary")
+    keyed = ids.mapInArrow(tidy(_keyed(idf, mean, window)), "key long, doc_id long, nth long, ids binary")
     order = ("key", "doc_id", "nth")
     dealt = keyed.repartitionByRange(min(shards, max(n, shards // 64)), *order) if shards > 1 else keyed.coalesce(1)
-    return dealt.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(_pack(idf, mean, window, shard_tokens), _OUT)
+    return dealt.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(tidy(_pack(idf, mean, window, shard_tokens)), _OUT)

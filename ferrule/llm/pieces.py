@@ -19,6 +19,8 @@ from array import array
 
 import numpy as np
 
+from ferrule.llm.memory import cache
+
 SPACE = "▁"
 NEVER = -np.inf
 #: An encoder's caches: words and their ids, compatible pairs.
@@ -241,6 +243,7 @@ def combine(matrices: list[np.ndarray]) -> list[int]:
 
 
 _workers: dict[str, Pieces] = {}
+cache("pieces", _workers.clear)
 
 
 def worker(path: str) -> Pieces:

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ferrule.llm.columns import text_of
 from ferrule.llm.hashing import Spans, joined, text_parts
+from ferrule.llm.memory import tidy
 from ferrule.llm.store import drop, keep
 from ferrule.llm.suffixes import anchors, repeats
 
@@ -200,17 +201,17 @@ def repeated_spans(docs: DataFrame, size: int = 200, hot: int = 2000) -> DataFra
     """
     texts = docs.where(F.octet_length("text") >= size)
     keyed = texts.select("dk", "text")
-    sums = keyed.mapInArrow(_anchors_of(size, False), "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    sums = keyed.mapInArrow(tidy(_anchors_of(size, False)), "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     common = keep(sums.where("n > 1").select("h", (F.col("docs") > hot).alias("hot")), "anchors")
-    pairs = keyed.mapInArrow(_anchors_of(size, True), "h long, dk long").join(common, "h")
+    pairs = keyed.mapInArrow(tidy(_anchors_of(size, True)), "h long, dk long").join(common, "h")
     wanted = pairs.groupBy("dk").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
     some = texts.join(wanted, "dk").select("did", "dk", "text", "wanted", "hot")
-    runs = keep(some.mapInArrow(_contexts_of(size), _RUNS), "contexts")
+    runs = keep(some.mapInArrow(tidy(_contexts_of(size)), _RUNS), "contexts")
     drop(common)
 
     cold = runs.where("said and windows is null").select("h", "c1", "c2", "body")
     n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = cold.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(_find(size), "c1 long, c2 long, runs array<int>")
+    found = cold.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(tidy(_find(size)), "c1 long, c2 long, runs array<int>")
 
     windows = runs.where("said and windows is not null").select("c1", "c2", "h", F.posexplode("windows").alias("at", "w"))
     twice = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
@@ -240,4 +241,4 @@ def remove_repeats(docs: DataFrame, size: int = 200, hot: int = 2000, carry: tup
     schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     for c, kind in kinds.items():
         schema = schema.add(c, kind)
-    return both.mapInArrow(_cut(size), schema)
+    return both.mapInArrow(tidy(_cut(size)), schema)

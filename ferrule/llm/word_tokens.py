@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 from ferrule.llm.hashing import Spans, in_chunks, mix, ranges
+from ferrule.llm.memory import cache
 
 NEVER = np.int32(2**31 - 1)
 #: Latin letters of two bytes that the side-by-side path takes: from here up to 0x180.
@@ -358,6 +359,7 @@ class WordTokens:
 
 
 _workers: dict[str, WordTokens] = {}
+cache("word tokens", _workers.clear)
 
 
 def worker(path: str) -> WordTokens:
