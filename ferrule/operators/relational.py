@@ -46,3 +46,30 @@ def theta(left: DataFrame, right: DataFrame, low: tuple[str, str], high: tuple[s
     slot = lambda c: F.floor(c / F.lit(width)).cast("long")
     wide = right.withColumn("__b", F.explode(F.sequence(slot(F.col(lo)), slot(F.col(hi)))))
     return left.withColumn("__b", slot(F.col(a))).join(wide, "__b").where((F.col(a) >= F.col(lo)) & (F.col(a) < F.col(hi))).drop("__b")
+
+
+_OPPOSITE = {">": "<=", ">=": "<", "<": ">=", "<=": ">", "=": "<>", "<>": "="}
+
+
+def quantified(left: DataFrame, x: str, op: str, right: DataFrame, y: str, out: str, all_of: bool, on: tuple[str, str] | None = None) -> DataFrame:
+    """``left`` with ``out``: x op ANY (y) or x op ALL (y) over the rows of ``right`` (of one key if ``on`` names columns of both).
+
+    Three-valued: nothing to compare with makes ANY false and ALL true; a null, where no other value decides, null.
+    Only extremes and counts of the right side meet the left one, so no pairs are made.
+    """
+    facts = [F.min(y).alias("_lo"), F.max(y).alias("_hi"), F.count("*").alias("_n"), F.count(y).alias("_known")]
+    sums = right.groupBy(F.col(on[1]).alias("_k")).agg(*facts) if on else right.agg(*facts)
+    both = left.join(sums, left[on[0]] == sums["_k"], "left").drop("_k") if on else left.crossJoin(sums)
+    c, lo, hi, known = F.col(x), F.col("_lo"), F.col("_hi"), F.coalesce("_known", F.lit(0))
+
+    def some(o: str):  # whether any known value compares so
+        one = {">": c > lo, ">=": c >= lo, "<": c < hi, "<=": c <= hi, "<>": (c != lo) | (c != hi)}
+        if o not in one:
+            raise ValueError("= ANY is IN, <> ALL is NOT IN")
+        return one[o]
+
+    wanted = some(_OPPOSITE[op] if all_of else op)
+    decided, otherwise = (F.lit(False), F.lit(True)) if all_of else (F.lit(True), F.lit(False))
+    n = F.coalesce("_n", F.lit(0))
+    value = F.when(n == 0, otherwise).when((known > 0) & wanted, decided).when(c.isNull() | (known < n), F.lit(None)).otherwise(otherwise)
+    return both.withColumn(out, value).drop("_lo", "_hi", "_n", "_known")

@@ -238,7 +238,7 @@ def not_like_escape(s, d):
 
 shared("case_when", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'large' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'small' END AS bucket FROM ord")
 
-_MAYBE = "(SELECT CASE WHEN s_suppkey % 10 <> 3 THEN s_suppkey END AS y FROM supp WHERE s_suppkey < 60)"
+_MAYBE = "(SELECT CASE WHEN s_suppkey % 10 <> 3 THEN s_suppkey END AS y FROM supp)"
 _LEFT = "(SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey END AS x FROM cust)"
 
 
@@ -266,6 +266,13 @@ def in_is_true(s, d):
     return relational.in_subquery(left, "x", right, "y", "found").select("c_custkey", relational.is_true(F.col("found")).alias("found"))
 
 
+@query(f"SELECT c_custkey, NOT COALESCE(x IN {_MAYBE}, TRUE) AS missing FROM {_LEFT} l")
+def in_is_false(s, d):
+    left, right = _in_sides(s, d, True)
+    found = relational.in_subquery(left, "x", right, "y", "found")
+    return found.select("c_custkey", (~F.coalesce("found", F.lit(True))).alias("missing"))
+
+
 @query(f"SELECT c_custkey FROM {_LEFT} l WHERE x NOT IN (SELECT y FROM {_MAYBE} m WHERE y IS NOT NULL)")
 def not_in_null_aware(s, d):
     left, right = _in_sides(s, d, False)
@@ -294,18 +301,30 @@ shared("scalar_corr", "SELECT c_custkey, (SELECT MAX(o_totalprice) FROM ord WHER
 shared("scalar_uncorr", "SELECT o_orderkey FROM ord WHERE o_totalprice = (SELECT MAX(o_totalprice) FROM ord)")
 shared("quantified_all", "SELECT s_suppkey FROM supp WHERE s_acctbal >= (SELECT MAX(s_acctbal) FROM supp)")
 
+_SOME = "(SELECT s_nationkey AS k, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END AS v FROM supp WHERE s_nationkey % 3 > 0)"
+
+
+# nothing to compare with, or a null among it, decides as three-valued logic has it
+@query(f"SELECT c_custkey, c_acctbal > ANY (SELECT v FROM {_SOME} m WHERE k = c_nationkey) AS some, c_acctbal > ALL (SELECT v FROM {_SOME} m WHERE k = c_nationkey) AS every FROM cust")
+def quantified_any_all(s, d):
+    right = run_sql(s, d, f"SELECT * FROM {_SOME} m")
+    some = relational.quantified(typed(s, d, "cust"), "c_acctbal", ">", right, "v", "some", all_of=False, on=("c_nationkey", "k"))
+    every = relational.quantified(some, "c_acctbal", ">", right, "v", "every", all_of=True, on=("c_nationkey", "k"))
+    return every.select("c_custkey", "some", "every")
+
+
 # -- joins --------------------------------------------------------------------------------------------------------
 
 shared("join_inner", "SELECT o_orderkey, c_name FROM ord JOIN cust ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
 
 
 @query(
-    "SELECT p_partkey, lo FROM prt JOIN (SELECT DISTINCT p_size AS lo, p_size + 3 AS hi FROM prt WHERE p_size <= 6) r "
+    "SELECT p_partkey, lo FROM prt JOIN (SELECT DISTINCT p_size AS lo, p_size + 3 AS hi FROM prt) r "
     "ON p_size >= lo AND p_size < hi"
 )
 def join_theta(s, d):
     p = typed(s, d, "prt").select("p_partkey", "p_size")
-    r = p.where("p_size <= 6").select(F.col("p_size").alias("lo"), (F.col("p_size") + 3).alias("hi")).distinct()
+    r = p.select(F.col("p_size").alias("lo"), (F.col("p_size") + 3).alias("hi")).distinct()
     return relational.theta(p, r, ("p_size", "lo"), ("p_size", "hi"), 3).select("p_partkey", "lo")
 
 
@@ -350,13 +369,17 @@ shared("having", "SELECT o_custkey, COUNT(*) AS n FROM ord GROUP BY o_custkey HA
 shared("having_scalar", "SELECT l_suppkey, CAST(SUM(l_quantity) AS DECIMAL(38,2)) AS q FROM li GROUP BY l_suppkey HAVING SUM(l_quantity) > (SELECT SUM(l_quantity) / 100 FROM li)")
 shared("distinct", "SELECT DISTINCT p_type, p_brand FROM prt")
 shared("rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM li GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+shared("grouping_sets", "SELECT l_returnflag, l_linestatus, GROUPING(l_returnflag) AS g1, GROUPING(l_linestatus) AS g2, COUNT(*) AS n FROM li GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+# a mean of distinct values with six digits, half up
+shared("avg_distinct", "SELECT l_returnflag, CAST(FLOOR(CAST(SUM(DISTINCT l_quantity) AS DECIMAL(20,2)) * 1000000 / COUNT(DISTINCT l_quantity) + 0.5) AS BIGINT) AS mean_e6 FROM li GROUP BY l_returnflag")
+shared("bit_aggregates", "SELECT o_orderstatus, BIT_AND(o_custkey) AS a, BIT_OR(o_custkey) AS o, BIT_XOR(o_custkey) AS x FROM ord GROUP BY o_orderstatus")
 shared("cube", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM li GROUP BY CUBE (l_returnflag, l_linestatus)")
 
 # -- order and limits ---------------------------------------------------------------------------------------------
 
 _NULLS = "(SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END AS k FROM cust)"
-shared("order_nulls", f"SELECT c_custkey, k FROM {_NULLS} x ORDER BY k ASC NULLS FIRST, c_custkey LIMIT 500")
-shared("order_nulls_desc", f"SELECT c_custkey, k FROM {_NULLS} x ORDER BY k DESC NULLS LAST, c_custkey LIMIT 500")
+shared("order_nulls", f"SELECT c_custkey, k FROM {_NULLS} x ORDER BY k ASC NULLS FIRST, c_custkey")
+shared("order_nulls_desc", f"SELECT c_custkey, k FROM {_NULLS} x ORDER BY k DESC NULLS LAST, c_custkey")
 shared("topk", "SELECT o_orderkey, o_totalprice FROM ord ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 shared("limit_offset", "SELECT o_orderkey FROM ord ORDER BY o_orderkey LIMIT 20 OFFSET 100")
 shared("limit_in_subquery", "SELECT COUNT(*) AS n FROM li WHERE l_orderkey IN (SELECT o_orderkey FROM ord ORDER BY o_totalprice DESC, o_orderkey LIMIT 10)")
@@ -507,7 +530,7 @@ def snapshot_with_deletes(s, d):
     return versions.snapshot(_log(s, d), ["k"])
 
 
-_PENDING = "(SELECT o_orderkey, o_orderstatus, tid, op FROM (SELECT o_orderkey + (CASE WHEN o_orderkey % 3 = 0 THEN 10000000 ELSE 0 END) AS o_orderkey, 'W' AS o_orderstatus, o_orderkey AS tid, CASE WHEN o_orderkey % 3 = 1 THEN 'del' ELSE 'put' END AS op FROM ord WHERE o_orderkey < 300) y)"
+_PENDING = "(SELECT o_orderkey, o_orderstatus, tid, op FROM (SELECT o_orderkey + (CASE WHEN o_orderkey % 3 = 0 THEN 10000000 ELSE 0 END) AS o_orderkey, 'W' AS o_orderstatus, o_orderkey AS tid, CASE WHEN o_orderkey % 3 = 1 THEN 'del' ELSE 'put' END AS op FROM ord) y)"
 
 
 @query(
@@ -547,6 +570,56 @@ def read_validation(s, d):
     return versions.changed_reads(_live(s, d, 5), _live(s, d, 7), ["k"])
 
 
+_BATCH = "(SELECT l_orderkey * 2 AS k, MOD(l_partkey, 97) AS seq, l_partkey, l_suppkey AS v FROM li)"
+_HAVE = "(SELECT o_orderkey AS k, o_custkey AS v FROM ord)"
+_ORDER = ("seq", "l_partkey")
+
+
+def _base_and_batch(s, d) -> tuple[DataFrame, DataFrame]:
+    return run_sql(s, d, f"SELECT * FROM {_HAVE} x"), run_sql(s, d, f"SELECT * FROM {_BATCH} x")
+
+
+@query(f"SELECT k FROM {_BATCH} b GROUP BY k HAVING COUNT(*) > 1 OR k IN (SELECT k FROM {_HAVE} h)")
+def insert_duplicate(s, d):
+    return versions.duplicate_keys(*_base_and_batch(s, d), ["k"])
+
+
+_FIRST = "SELECT k, v FROM (SELECT k, v, ROW_NUMBER() OVER (PARTITION BY k ORDER BY {by}) AS r FROM {batch} b) x WHERE r = 1"
+
+
+@query(_FIRST.format(by="seq, l_partkey, v", batch=_BATCH) + f" AND k NOT IN (SELECT k FROM {_HAVE} h) UNION ALL SELECT k, v FROM {_HAVE} h")
+def insert_ignore(s, d):
+    base, batch = _base_and_batch(s, d)
+    return versions.insert_ignored(base, batch, ["k"], _ORDER).unionByName(base)
+
+
+_REPLACED = _FIRST.format(by="seq DESC, l_partkey DESC, v DESC", batch=_BATCH)
+
+
+@query(f"{_REPLACED} UNION ALL SELECT k, v FROM {_HAVE} h WHERE k NOT IN (SELECT k FROM {_BATCH} b)")
+def replace_row(s, d):
+    base, batch = _base_and_batch(s, d)
+    put = versions.replaced(batch, ["k"], _ORDER).select("k", "v", F.lit(0).cast("long").alias("tid"), F.lit(versions.PUT).alias("op"))
+    return versions.own_writes(base, put, ["k"])
+
+
+# every duplicate adds what it was to insert
+@query(f"SELECT k, CAST(SUM(v) AS BIGINT) AS v FROM (SELECT k, v FROM {_BATCH} b UNION ALL SELECT k, v FROM {_HAVE} h) x GROUP BY k")
+def on_duplicate_key_update(s, d):
+    base, batch = _base_and_batch(s, d)
+    put = versions.upserted(base, batch, ["k"], _ORDER, lambda old, new: {"v": old["v"] + new["v"]})
+    return versions.own_writes(base, put.select("k", "v", F.lit(0).cast("long").alias("tid"), F.lit(versions.PUT).alias("op")), ["k"])
+
+
+# two transactions insert; the second one to commit has read keys as absent that are there now
+@query(f"SELECT DISTINCT k FROM {_BATCH} b WHERE MOD(l_partkey, 2) = 0 AND k IN (SELECT k FROM {_BATCH} c WHERE MOD(l_partkey, 2) = 1)")
+def insert_conflict(s, d):
+    batch = run_sql(s, d, f"SELECT * FROM {_BATCH} x")
+    reads = batch.where("l_partkey % 2 = 0").select("k", F.lit(None).cast("long").alias("tid")).distinct()
+    now = batch.where("l_partkey % 2 = 1").select("k", F.lit(1).cast("long").alias("tid")).distinct()
+    return versions.changed_reads(reads, now, ["k"])
+
+
 # -- windows and set operations -----------------------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """The 22 decision-support queries, in the shapes that the tables at hand allow.
 
 One text serves Spark and the oracle.  Dates are compared as timestamps against date literals, so that filters reach
-the scan.  Sums of money are exact decimals; ratios go through ``semantics.ratio_sql``.  Where the standard schema
+the scan.  Sums of money are exact decimals, ratios whole millionths.  Where the standard schema
 has supplier stock, line items stand in; columns that do not exist are left out.
 """
 
@@ -14,6 +14,11 @@ def money(expr: str, scale: int = 4) -> str:
     return f"CAST(SUM({expr}) AS DECIMAL(38,{scale}))"
 
 
+def share(part: str, whole: str, times: int = 1) -> str:
+    """A ratio of sums in whole millionths."""
+    return f"CAST(FLOOR(CAST(SUM({part}) AS DECIMAL(20,4)) * {1_000_000 * times} / CAST(SUM({whole}) AS DECIMAL(20,4))) AS BIGINT)"
+
+
 def year(expr: str) -> str:
     return f"CAST(EXTRACT(YEAR FROM {expr}) AS BIGINT)"
 
@@ -65,12 +70,12 @@ QUERIES = {
               AND l_shipdate BETWEEN DATE '1996-01-01' AND DATE '1999-12-31') shipping
         GROUP BY supp_nation, cust_nation, l_year ORDER BY supp_nation, cust_nation, l_year""",
     "tpch_q08": f"""
-        SELECT o_year, {money("CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END")} AS part_volume, {money("volume")} AS volume FROM (
+        SELECT o_year, {share("CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END", "volume")} AS mkt_share_e6 FROM (
             SELECT {year("o_orderdate")} AS o_year, {REVENUE} AS volume, n2.n_name AS nation
             FROM prt JOIN li ON p_partkey = l_partkey JOIN supp ON s_suppkey = l_suppkey JOIN ord ON l_orderkey = o_orderkey
             JOIN cust ON o_custkey = c_custkey JOIN nat n1 ON c_nationkey = n1.n_nationkey JOIN reg ON n1.n_regionkey = r_regionkey
             JOIN nat n2 ON s_nationkey = n2.n_nationkey
-            WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY') all_nations
+            WHERE r_name = 'AMERICA' AND p_type = 'ECONOMY' AND o_orderdate BETWEEN DATE '1995-01-01' AND DATE '1996-12-31') all_nations
         GROUP BY o_year ORDER BY o_year""",
     "tpch_q09": f"""
         SELECT nation, o_year, {money("amount")} AS sum_profit FROM (
@@ -101,7 +106,7 @@ QUERIES = {
             LEFT JOIN ord ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%NOT%SPEC%' GROUP BY c_custkey) c_orders
         GROUP BY c_count ORDER BY custdist DESC, c_count DESC""",
     "tpch_q14": f"""
-        SELECT {money("CASE WHEN p_type LIKE 'PROMO%' THEN " + REVENUE + " ELSE 0 END")} AS promo, {money(REVENUE)} AS revenue
+        SELECT {share("CASE WHEN p_type LIKE 'PROMO%' THEN " + REVENUE + " ELSE 0 END", REVENUE, 100)} AS promo_revenue_e6
         FROM li JOIN prt ON l_partkey = p_partkey WHERE l_shipdate >= DATE '1997-09-01' AND l_shipdate < DATE '1997-10-01'""",
     "tpch_q15": f"""
         WITH revenue AS (
@@ -134,7 +139,8 @@ QUERIES = {
         WHERE s_suppkey IN (
             SELECT o.l_suppkey FROM li o
             WHERE o.l_partkey IN (SELECT p_partkey FROM prt WHERE p_name LIKE 'small%')
-              AND o.l_quantity > (SELECT MIN(i.l_quantity) FROM li i WHERE i.l_partkey = o.l_partkey AND i.l_suppkey = o.l_suppkey))
+              AND o.l_quantity * 2 > (SELECT SUM(i.l_quantity) FROM li i WHERE i.l_partkey = o.l_partkey AND i.l_suppkey = o.l_suppkey
+                                      AND i.l_shipdate >= DATE '1997-01-01' AND i.l_shipdate < DATE '1998-01-01'))
           AND n_regionkey = 1
         ORDER BY s_name, s_suppkey""",
     "tpch_q21": """
@@ -147,7 +153,9 @@ QUERIES = {
     "tpch_q22": """
         SELECT cntrycode, COUNT(*) AS numcust, CAST(SUM(c_acctbal) AS DECIMAL(38,2)) AS totacctbal FROM (
             SELECT SUBSTRING(c_name, 18, 1) AS cntrycode, c_acctbal FROM cust
-            WHERE c_acctbal > (SELECT CAST(CAST(SUM(c_acctbal) AS DECIMAL(25,2)) / COUNT(*) AS DECIMAL(19,6)) FROM cust WHERE c_acctbal > 0)
+            WHERE SUBSTRING(c_name, 18, 1) IN ('1', '3', '2', '9', '0', '8', '7')
+              AND c_acctbal > (SELECT CAST(CAST(SUM(c_acctbal) AS DECIMAL(25,2)) / COUNT(*) AS DECIMAL(19,6)) FROM cust
+                               WHERE c_acctbal > 0 AND SUBSTRING(c_name, 18, 1) IN ('1', '3', '2', '9', '0', '8', '7'))
               AND NOT EXISTS (SELECT 1 FROM ord WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')) custsale
         GROUP BY cntrycode ORDER BY cntrycode""",
 }

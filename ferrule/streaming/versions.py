@@ -8,10 +8,10 @@ against what has been committed since, then append a commit directory in one ren
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PUT, DELETE = "put", "del"
@@ -65,6 +65,54 @@ def changed_range(before: DataFrame, after: DataFrame, key: Sequence[str]) -> Da
     return b.join(a, list(key), "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(*key)
 
 
+def _values(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> list[str]:
+    return [c for c in rows.columns if c not in (*key, *order)]
+
+
+def duplicate_keys(base: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Keys of ``rows`` that an insert into ``base`` must refuse: those that are there, and those that come twice."""
+    batch = rows.groupBy(*key).agg((F.count("*") > 1).alias("again"))
+    there = base.select(*key).distinct().withColumn("there", F.lit(True))
+    return batch.join(there, list(key), "left").where("again OR there").select(*key)
+
+
+def insert_ignored(base: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """What an insert that skips duplicates adds: of each new key the first row by ``order``."""
+    values = _values(rows, key, order)
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(*order, *values)).alias("v"))
+    return first.select(*key, *[F.col(f"v.{c}").alias(c) for c in values]).join(base.select(*key), list(key), "left_anti")
+
+
+def replaced(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """What a replace puts: of each key the last row by ``order``."""
+    values = _values(rows, key, order)
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order, *values)).alias("v"))
+    return last.select(*key, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
+def upserted(base: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str], change: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """What an insert with an update of duplicates puts: each key's rows go, by ``order``, into the row that is there.
+
+    ``change(old, new)`` gives the columns that a duplicate changes, from the row there and the row that was to be
+    inserted; a key that is not there begins with its first row.  The rows of one key in one statement are gathered.
+    """
+    values = _values(rows, key, order)
+    kinds = dict(base.dtypes)
+    cast = [F.col(c).cast(kinds[c]).alias(c) for c in values]
+    batch = rows.select(*key, *order, *cast).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("all"))
+    old = base.select(*key, F.struct(*[F.col(c) for c in values]).alias("old"))
+    both = batch.join(old, list(key), "left")
+    plain = F.transform("all", lambda x: F.struct(*[x[c].alias(c) for c in values]))
+    start, more = F.coalesce("old", plain[0]), F.when(F.col("old").isNull(), F.slice(plain, 2, F.size("all"))).otherwise(plain)
+
+    def fold(have: Column, new: Column) -> Column:
+        changed = change(have, new)
+        return F.struct(*[changed.get(c, have[c]).cast(kinds[c]).alias(c) for c in values])
+
+    out = both.select(*key, F.aggregate(more, start, fold).alias("v"))
+    return out.select(*key, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
 @dataclass
 class Transaction:
     """Reads and writes to be committed together."""
@@ -110,22 +158,50 @@ class ChangeLog:
     def read(self, epoch: int | None = None) -> DataFrame:
         return snapshot(self.log(), self.key, epoch)
 
-    def versions(self) -> DataFrame:
-        """Live keys with the tid that wrote them."""
-        rows = self.log().groupBy(*self.key).agg(F.max_by(F.struct("op", "tid"), F.struct("epoch", "tid")).alias("v"))
+    def _of(self, keys: DataFrame | None, epoch: int | None = None) -> DataFrame:
+        """The log up to an epoch, of some keys only if given: a small batch does not aggregate the whole history."""
+        log = self.log() if epoch is None else self.log().where(F.col("epoch") <= epoch)
+        return log if keys is None else log.join(keys.select(*self.key).distinct(), self.key, "left_semi")
+
+    def versions(self, keys: DataFrame | None = None, epoch: int | None = None) -> DataFrame:
+        """Live keys, of ``keys`` if given, with the tid that wrote them."""
+        rows = self._of(keys, epoch).groupBy(*self.key).agg(F.max_by(F.struct("op", "tid"), F.struct("epoch", "tid")).alias("v"))
         return rows.where(F.col("v.op") == PUT).select(*self.key, F.col("v.tid").alias("tid"))
 
     def begin(self) -> Transaction:
         return Transaction(self.epoch())
 
-    def insert(self, t: Transaction, rows: DataFrame, ignore: bool = False, replace: bool = False) -> None:
-        """Puts of new keys; keys that exist raise at once, are left out (``ignore``) or are replaced (``replace``)."""
-        there = rows.join(self.read(), self.key, "left_semi")
-        if ignore:
-            rows = rows.join(self.read(), self.key, "left_anti")
-        elif not replace and not there.isEmpty():
-            raise DuplicateKey("the key exists")
-        t.writes.append(rows.select(*self.key, *self.values).withColumn("op", F.lit(PUT)))
+    def insert(
+        self,
+        t: Transaction,
+        rows: DataFrame,
+        ignore: bool = False,
+        replace: bool = False,
+        update: Callable[[Column, Column], dict[str, Column]] | None = None,
+        order: Sequence[str] = (),
+    ) -> None:
+        """Puts of new keys, in the transaction's own view.
+
+        A key that is there already, or twice among ``rows``, raises at once, is left out (``ignore``: the first row by
+        ``order`` stays), is replaced (``replace``: the last one) or changes the row that is there (``update``, see
+        ``upserted``).  Without ``order`` rows of a key follow each other by their values.  The versions that were met are
+        reads of the transaction: a key that somebody else commits meanwhile is a conflict.
+        """
+        rows = rows.select(*self.key, *[c for c in order if c not in (*self.key, *self.values)], *self.values)
+        keys = rows.select(*self.key).distinct()
+        there = self.view(t, keys)
+        order = [c for c in order if c not in self.values]
+        by = order or list(self.values)
+        if ignore or replace or update:
+            plain = rows if order else rows.select("*", F.lit(0).alias(free := "n" + "_" * max(map(len, rows.columns))))
+            by = order or [free]
+            new = insert_ignored(there, plain, self.key, by) if ignore else replaced(plain, self.key, by) if replace else upserted(there, plain, self.key, by, update)
+        else:
+            if not duplicate_keys(there, rows, self.key).isEmpty():
+                raise DuplicateKey("the key exists")
+            new = rows
+        t.reads.append(keys.join(self.versions(keys, t.begun), self.key, "left").select(*self.key, "tid"))
+        t.writes.append(new.select(*self.key, *self.values).withColumn("op", F.lit(PUT)))
 
     def update(self, t: Transaction, rows: DataFrame, old_keys: DataFrame | None = None) -> None:
         """New versions; if keys move, the old ones are deleted."""
@@ -145,28 +221,33 @@ class ChangeLog:
             out = w if out is None else out.unionByName(w)
         return out
 
-    def view(self, t: Transaction) -> DataFrame:
-        p, base = self.pending(t), self.read(t.begun)
+    def view(self, t: Transaction, keys: DataFrame | None = None) -> DataFrame:
+        """What the transaction sees, of some keys only if given."""
+        p, base = self.pending(t), snapshot(self._of(keys, t.begun), self.key)
+        if p is not None and keys is not None:
+            p = p.join(keys.select(*self.key).distinct(), self.key, "left_semi")
         return base if p is None else own_writes(base, p, self.key)
 
     def commit(self, t: Transaction) -> int:
         """Validate and append; the new epoch.  Raises ``Conflict`` or ``DuplicateKey`` and writes nothing then."""
-        now = self.versions()
-        for r in t.reads:
-            if not changed_reads(r, now, self.key).isEmpty():
-                raise Conflict("a row that was read has changed")
-        for seen, condition in t.ranges:
-            if not changed_range(seen, now.where(condition), self.key).isEmpty():
-                raise Conflict("a range that was read has changed")
+        epoch = self.epoch() + 1
+        if epoch > t.begun + 1:  # somebody has committed since
+            for r in t.reads:
+                if not changed_reads(r, self.versions(r), self.key).isEmpty():
+                    raise Conflict("a row that was read has changed")
+            for seen, condition in t.ranges:
+                if not changed_range(seen, self.versions().where(condition), self.key).isEmpty():
+                    raise Conflict("a range that was read has changed")
         p = self.pending(t)
         if p is None:
             return self.epoch()
         newest = p.groupBy(*self.key).agg(F.max_by(F.struct("op", *self.values), "tid").alias("v"))
-        state = own_writes(self.read(), p, self.key)
+        puts = newest.where(F.col("v.op") == PUT).select(*self.key, *[F.col(f"v.{c}").alias(c) for c in self.values])
         for u in self.unique:
-            if not unique_violations(state, u).isEmpty():
+            # only rows whose values are written can clash with them
+            state = self.read().join(newest.select(*self.key), self.key, "left_anti").unionByName(puts)
+            if not unique_violations(state.join(puts.select(*u).distinct(), list(u), "left_semi"), u).isEmpty():
                 raise DuplicateKey(", ".join(u))
-        epoch = self.epoch() + 1
         rows = newest.select(
             F.lit(epoch).cast("long").alias("epoch"), F.lit(epoch).cast("long").alias("tid"), F.col("v.op").alias("op"), *self.key, *[F.col(f"v.{c}").alias(c) for c in self.values]
         )

@@ -32,7 +32,19 @@ def test_entry(spark):
 
 
 def test_filters_reach_the_scan(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # or the plan's text is cut
     plan = catalog.QUERIES["tpch_q06"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "GreaterThanOrEqual(l_shipdate" in plan
     scan = plan[plan.index("ReadSchema") :].split("\n")[0]
     assert "l_quantity" in scan and "l_orderkey" not in scan
+
+
+def test_quantified_comparisons_are_three_valued(spark):
+    from ferrule.operators import relational
+
+    left = spark.createDataFrame([(1, 5), (1, None), (2, 5), (3, 5), (4, 5)], "g int, x int")
+    right = spark.createDataFrame([(1, 4), (1, 6), (2, None), (3, 4), (3, None)], "k int, y int")
+    every = relational.quantified(left, "x", ">", right, "y", "a", all_of=True, on=("g", "k"))
+    some = relational.quantified(every, "x", ">", right, "y", "b", all_of=False, on=("g", "k"))
+    assert sorted(map(tuple, some.collect()), key=str) == sorted([(1, 5, False, True), (1, None, None, None), (2, 5, None, None), (3, 5, None, True), (4, 5, True, False)], key=str)

@@ -80,3 +80,47 @@ def test_epochs_are_published_once(spark, log):
     log._publish(frame(spark, (1, 1, "a")), "epoch-00000000000000000001")
     with pytest.raises(Conflict):
         log._publish(frame(spark, (1, 1, "a")), "epoch-00000000000000000001")
+
+
+def test_duplicates_within_a_statement_and_a_transaction(spark, log):
+    t = log.begin()
+    with pytest.raises(DuplicateKey):
+        log.insert(t, frame(spark, (1, 10, "a"), (1, 11, "b")))
+    log.insert(t, frame(spark, (2, 10, "a")))
+    with pytest.raises(DuplicateKey):
+        log.insert(t, frame(spark, (2, 11, "b")))
+    log.insert(t, frame(spark, (2, 11, "b"), (3, 5, "c"), (3, 4, "d")), ignore=True, order=["v"])
+    assert rows(log.view(t)) == [(2, 10, "a"), (3, 4, "d")]
+    log.delete(t, frame(spark, (2, 0, "")).select("id"))
+    log.insert(t, frame(spark, (2, 12, "a")))  # gone, so it may come again
+    log.insert(t, frame(spark, (3, 6, "x"), (3, 7, "y")), replace=True, order=["v"])
+    log.commit(t)
+    assert rows(log.read()) == [(2, 12, "a"), (3, 7, "y")]
+
+
+def test_two_inserts_of_one_key_conflict(spark, log):
+    a, b, c = log.begin(), log.begin(), log.begin()
+    log.insert(a, frame(spark, (1, 10, "a")))
+    log.insert(b, frame(spark, (1, 20, "b")))
+    log.insert(c, frame(spark, (2, 30, "c")))
+    log.commit(a)
+    with pytest.raises(Conflict):
+        log.commit(b)
+    log.commit(c)
+    assert rows(log.read()) == [(1, 10, "a"), (2, 30, "c")]
+
+
+def test_on_duplicate_key_update(spark, log):
+    t = log.begin()
+    log.insert(t, frame(spark, (1, 10, "a")))
+    log.commit(t)
+    t = log.begin()
+    add = lambda old, new: {"v": old["v"] + new["v"]}
+    log.insert(t, frame(spark, (1, 1, "x"), (1, 2, "y"), (2, 5, "b"), (2, 6, "z"), (3, 7, "c")), update=add, order=["v"])
+    assert rows(log.view(t)) == [(1, 13, "a"), (2, 11, "b"), (3, 7, "c")]
+    log.commit(t)
+    assert rows(log.read()) == [(1, 13, "a"), (2, 11, "b"), (3, 7, "c")]
+    t = log.begin()
+    log.insert(t, frame(spark, (4, 1, "a")))  # another row has that name
+    with pytest.raises(DuplicateKey):
+        log.commit(t)
