@@ -38,21 +38,26 @@ REMEMBERED = 200_000
 
 
 def _anchors_of(size: int, per_document: bool):
-    """Rows of (h, dk) for each document's distinct anchors, or of (h, n, docs) summed over a chunk."""
+    """Rows of (h, dk, first, n) for each document's runs of windows, or of (h, n, docs) summed over a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy()
             for part, texts in text_parts(b.column(1), CHUNK):
-                doc, _, _, h = anchors(*joined(texts), size)
-                pairs, n = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1, return_counts=True) if len(h) else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
-                each = pairs[0].astype(np.int64)
+                data, bounds = joined(texts)
+                doc, first, n, h, places = anchors(data, bounds, size)
                 if per_document:
-                    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(keys[part][pairs[1].astype(np.int64)])], ["h", "dk"])
-                else:
-                    first = np.flatnonzero(np.append(True, each[1:] != each[:-1])) if len(each) else np.empty(0, np.int64)
-                    sums = [np.add.reduceat(x, first) if len(first) else x for x in (n, np.ones_like(n))]
-                    yield pa.RecordBatch.from_arrays([pa.array(each[first]), pa.array(sums[0]), pa.array(sums[1])], ["h", "n", "docs"])
+                    begin = (first - bounds[doc]).astype(np.int32)
+                    cols = [h.astype(np.int64), keys[part][doc], begin, n.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "dk", "first", "n"])
+                    continue
+                # of each document its distinct anchors, then of each anchor its documents
+                pairs, back = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1, return_inverse=True) if len(h) else (np.empty((2, 0), np.uint64), np.empty(0, np.int64))
+                n = np.bincount(back.ravel(), places, pairs.shape[1]).astype(np.int64)
+                each = pairs[0].astype(np.int64)
+                at = np.flatnonzero(np.append(True, each[1:] != each[:-1])) if len(each) else np.empty(0, np.int64)
+                sums = [np.add.reduceat(x, at) if len(at) else x for x in (n, np.ones_like(n))]
+                yield pa.RecordBatch.from_arrays([pa.array(each[at]), pa.array(sums[0]), pa.array(sums[1])], ["h", "n", "docs"])
 
     return run
 
@@ -70,20 +75,19 @@ def _contexts_of(size: int):
             for part, texts in text_parts(b.column(2), CHUNK):
                 raw = b"".join(texts)
                 data, bounds = joined(texts)
-                doc, first, n, h = anchors(data, bounds, size)
                 spans = None
                 out: list[tuple] = []
-                cuts = np.searchsorted(doc, np.arange(len(bounds)))
-                for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                for i, base_at in enumerate(bounds[:-1].tolist()):
                     row = part.start + i
-                    wanted = b.column(3)[row].values.to_numpy()
-                    hot = set(b.column(4)[row].as_py())
-                    mine = np.flatnonzero(np.isin(h[lo:hi].astype(np.int64), wanted)) + lo
+                    wanted = b.column(3)[row].values
+                    first, n, h, warm = (wanted.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                    order = np.argsort(first)
+                    hot = set(h[warm].tolist())
                     own: dict[bytes, list] = {}
-                    for f, m, a in zip(first[mine].tolist(), n[mine].tolist(), h[mine].astype(np.int64).tolist()):
+                    for f, m, a in zip((first[order] + base_at).tolist(), n[order].tolist(), h[order].tolist()):
                         body = raw[f : f + m + size - 1]
                         found = own.setdefault(blake2b(body, digest_size=16).digest(), [a, m, f, body, []])
-                        found[4].append(f - int(bounds[i]))
+                        found[4].append(f - base_at)
                     for key, (a, m, f, body, starts) in own.items():
                         times = min(2 - min(2, sent.get(key, 0)), len(starts))
                         sent[key] = sent.get(key, 0) + times
@@ -117,12 +121,13 @@ def _find(size: int):
 
     def flush(groups: list[dict]) -> pa.RecordBatch:
         found: list[tuple] = []
-        several = [(key, *v) for g in groups if len(g) > 1 for key, v in g.items()]
+        alone = lambda g: len(g) == 1 and next(iter(g.values()))[0] > 1  # noqa: E731  copies only: all their windows repeat
+        several = [(key, *v) for g in groups if not alone(g) for key, v in g.items()]
         for (key, n, body), flags in zip(several, repeats([x[2] for x in several], size)):
             found.append((key, _runs(flags | (n > 1))))
         for g in groups:
-            if len(g) == 1:  # windows of one anchor differ inside a context
-                found += [(key, [0, len(body) - size + 1]) for key, (n, body) in g.items() if n > 1]
+            if alone(g):
+                found += [(key, [0, len(body) - size + 1]) for key, (_, body) in g.items()]
         found = [x for x in found if x[1]]
         return pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k, _ in found], pa.int64()), pa.array([k[1] for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.list_(pa.int32()))],
@@ -203,9 +208,10 @@ def repeated_spans(docs: DataFrame, size: int = 200, hot: int = 2000) -> DataFra
     keyed = texts.select("dk", "text")
     sums = keyed.mapInArrow(tidy(_anchors_of(size, False)), "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     common = keep(sums.where("n > 1").select("h", (F.col("docs") > hot).alias("hot")), "anchors")
-    pairs = keyed.mapInArrow(tidy(_anchors_of(size, True)), "h long, dk long").join(common, "h")
-    wanted = pairs.groupBy("dk").agg(F.collect_set("h").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("h"))).alias("hot"))
-    some = texts.join(wanted, "dk").select("did", "dk", "text", "wanted", "hot")
+    pairs = keyed.mapInArrow(tidy(_anchors_of(size, True)), "h long, dk long, first int, n int").join(common, "h")
+    # equal rows of a document tell of the same runs
+    wanted = pairs.groupBy("dk").agg(F.collect_set(F.struct("first", "n", "h", "hot")).alias("wanted"))
+    some = texts.join(wanted, "dk").select("did", "dk", "text", "wanted")
     runs = keep(some.mapInArrow(tidy(_contexts_of(size)), _RUNS), "contexts")
     drop(common)
 

@@ -21,6 +21,8 @@ GRAM = 48
 #: Windows named at once: positions must fit in the low bits of a key.
 STRETCH = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
+#: Windows of a run at most: equal parts of periodic text are equal runs.
+LONGEST = 1024
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -31,8 +33,8 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray, size: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows: text, first window's start in ``data``, number of windows, anchor.
+def anchors(data: np.ndarray, bounds: np.ndarray, size: int, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of windows: text, first window's start in ``data``, number of windows, anchor, places at which it stands.
 
     ``bounds`` are where the texts in ``data`` begin and end; no window crosses them.
     """
@@ -47,12 +49,20 @@ def anchors(data: np.ndarray, bounds: np.ndarray, size: int, gram: int = GRAM) -
         if not len(fits):
             continue
         place = place[fits]
-        new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (np.diff(fits) > 1)]))
+        name, gap = h[place], np.diff(fits) > 1
+        moves = np.append(True, (place[1:] != place[:-1]) | gap)
+        new = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | gap))  # in periodic text many places have one name
+        sizes = np.diff(np.append(new, len(fits)))
+        parts = -(-sizes // LONGEST)
+        if len(parts) < parts.sum():
+            new = np.repeat(new, parts) + LONGEST * ranges(np.zeros(len(parts), np.int64), parts)
+            sizes = np.diff(np.append(new, len(fits)))
+        places = np.add.reduceat(moves.astype(np.int64), new)
         first = fits[new] + at
-        out.append((np.searchsorted(bounds, first, "right") - 1, first, np.diff(np.append(new, len(fits))), h[place[new]]))
+        out.append((np.searchsorted(bounds, first, "right") - 1, first, sizes, name[new], np.maximum(places, 1)))
     if not out:
         none = np.empty(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     return tuple(np.concatenate(x) for x in zip(*out))
 
 

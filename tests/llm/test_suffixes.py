@@ -33,7 +33,7 @@ def test_equal_windows_have_equal_anchors():
     names: dict = {}
     data, bounds = joined(texts)
     n = 0
-    for doc, first, m, h in zip(*anchors(data, bounds, 40, 8)):
+    for doc, first, m, h, _ in zip(*anchors(data, bounds, 40, 8)):
         assert bounds[doc] <= first and first + m + 39 <= bounds[doc + 1]
         for i in range(first, first + m):
             assert names.setdefault(data[i : i + 40].tobytes(), h) == h
@@ -81,3 +81,13 @@ def test_carried_columns_and_whole_characters(spark):
     assert [(r.kept, r.lang, r.n_removed) for r in rows] == [("a", "en", 600), ("b", "de", 600)]
     odd = spark.createDataFrame([(1, "é" + "x" * 200), (2, "é"[:0] + "ã" + "x" * 200)], "doc_id long, text string")
     assert all(r.kept in ("é", "ã") for r in remove_repeats(odd).collect())
+
+
+def test_periodic_and_long_texts(spark):
+    """Repeats inside one text, at any offset, and long ones of one character or a short period."""
+    rows = [(1, "a" * 5000), (2, "abc" * 900 + "q"), (3, "z" + "a" * 260), (4, "ab" * 99), (5, "no repeat " + "".join(map(str, range(300)))), (6, "ab" * 101)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2000, 1):
+        assert got(df, 200, hot) == expected(rows, 200)
+    long = spark.createDataFrame([(1, "x" * 10_000_000), (2, "ab" * 2_000_000 + "!" * 150)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(long).collect()) == [(1, 10_000_000, 10_000_000, 1), (2, 4_000_150, 4_000_000, 1)]
