@@ -107,6 +107,13 @@ def neighbours(df: DataFrame, key: str, partition: str, carry: Sequence[str]) ->
     return df.select(partition, key, *carry, F.lag(key).over(w).alias("previous"), F.lead(key).over(w).alias("following"))
 
 
+def parallel_range(df: DataFrame, key: str, start: int, end: int, parts: int) -> DataFrame:
+    """Rows of start <= key < end as ``parts`` scans of ranges of their own, each with its bounds pushed down."""
+    cuts = [start + (end - start) * i // parts for i in range(parts + 1)]
+    scans = [df.where((F.col(key) >= a) & (F.col(key) < b)) for a, b in zip(cuts, cuts[1:]) if a < b]
+    return reduce(DataFrame.unionAll, scans) if scans else df.limit(0)
+
+
 def reread(ids: DataFrame, df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Full rows of remembered keys, once for each."""
     return ids.select(*key).join(df, list(key))

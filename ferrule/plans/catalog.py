@@ -15,6 +15,8 @@ from ferrule.functions.typed import field as typed_field
 from ferrule.operators import access, relational, statistics
 from ferrule.plans import tpch
 from ferrule.plans.read_plan import ReadPlan, Table
+from ferrule.sources import ddl
+from ferrule.sources.scratch import scratch
 from ferrule.sources.tables import oracle, run_sql, scan, typed
 from ferrule.streaming import versions
 
@@ -97,6 +99,21 @@ def prefix_equality(s, d):
     return access.prefix(scan(s, d, "lineitem").select("l_orderkey", "l_linenumber").distinct(), ["l_orderkey", "l_linenumber"], [7])
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM li WHERE l_orderkey = 7 ORDER BY l_linenumber, l_partkey, l_suppkey LIMIT 1")
+def prefix_first(s, d):
+    return access.prefix(scan(s, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], [7], limit=1).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT * FROM cust WHERE c_name = 'Customer#000000042'")
+def unique_point(s, d):
+    return access.point(typed(s, d, "cust"), ["c_name"], ["Customer#000000042"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM ord WHERE o_orderkey >= 100 AND o_orderkey < 9000")
+def parallel_range_scan(s, d):
+    return access.parallel_range(scan(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, 9000, 7)
+
+
 @query("SELECT o_custkey, o_orderkey FROM ord WHERE o_custkey > 50 OR (o_custkey = 50 AND o_orderkey > 3000) ORDER BY o_custkey, o_orderkey LIMIT 40")
 def exclusive_start(s, d):
     return access.key_range(scan(s, d, "orders"), ["o_custkey", "o_orderkey"], [50, 3000], limit=40, keys_only=True, after=True)
@@ -502,6 +519,22 @@ def hll_ndv(s, d):
     return statistics.hll(scan(s, d, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
+@query(
+    "SELECT 1 AS n_parts, CAST(FLOOR(COUNT(*) * 10000.0 / COUNT(DISTINCT l_orderkey)) AS BIGINT) AS rec_e4 FROM li UNION ALL "
+    "SELECT 2, CAST(FLOOR(SUM(n) * 10000.0 / COUNT(*)) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM li GROUP BY l_orderkey, l_linenumber) x"
+)
+def rec_per_key(s, d):
+    one = statistics.records_per_key(scan(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return one.select("n_parts", F.floor(F.col("rec_per_key") * 10000).cast("long").alias("rec_e4"))
+
+
+@query("SELECT 'orders' AS t, COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE o_orderkey % 4 = 0) > COUNT(*) * 0.2 AS stale FROM ord")
+def drift(s, d):
+    o = scan(s, d, "orders")
+    n, changed = o.agg(F.count("*"), F.count_if(F.col("o_orderkey") % 4 == 0)).first()
+    return s.createDataFrame([("orders", n, statistics.stale(n, changed))], "t string, n_rows long, stale boolean")
+
+
 @query("SELECT COUNT(*) AS n_rows FROM ord WHERE o_custkey >= 5 AND o_custkey < 90")
 def records_in_range(s, d):
     return statistics.records_in_range(scan(s, d, "orders"), "o_custkey", 5, 90)
@@ -620,6 +653,75 @@ def insert_conflict(s, d):
     return versions.changed_reads(reads, now, ["k"])
 
 
+_COMMITTED = (
+    "(SELECT CASE WHEN o_orderkey % 10 = 1 THEN o_orderkey + 10000000 ELSE o_orderkey END AS k, "
+    "CASE WHEN o_orderkey % 10 = 2 THEN o_custkey + 1 ELSE o_custkey END AS c FROM ord WHERE o_orderkey % 10 <> 3)"
+)
+
+
+def _committed(s, d, index: bool = False) -> versions.ChangeLog:
+    """Orders in a change log: loaded, then keys moved, rows changed and deleted in a second commit."""
+    log = versions.ChangeLog(s, scratch(s, "orders"), {"k": "long"}, {"c": "long"})
+    rows = scan(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    t = log.begin()
+    t.writes.append(rows.withColumn("op", F.lit(versions.PUT)))  # a load: nothing to be checked against
+    log.commit(t)
+    if index:
+        log.add_index("by_c", ["c"])
+    t, moved = log.begin(), rows.where("k % 10 = 1")
+    log.update(t, moved.select((F.col("k") + 10_000_000).alias("k"), "c"), moved.select("k"))
+    log.update(t, rows.where("k % 10 = 2").select("k", (F.col("c") + 1).alias("c")))
+    log.delete(t, rows.where("k % 10 = 3").select("k"))
+    log.commit(t)
+    return log
+
+
+@query(f"SELECT k, c FROM {_COMMITTED} x")
+def log_commits(s, d):
+    return _committed(s, d).read()
+
+
+@query("SELECT o_orderkey AS k, o_custkey AS c FROM ord")
+def log_as_of_first_commit(s, d):
+    return _committed(s, d).read(1)
+
+
+@query(f"SELECT k, c FROM {_COMMITTED} x")
+def log_checkpoint(s, d):
+    log = _committed(s, d)
+    log.checkpoint()
+    return versions.ChangeLog(s, log.path, {"k": "long"}, {"c": "long"}).read()  # as another reader finds it
+
+
+@query(f"SELECT k, c FROM {_COMMITTED} x WHERE c >= 40 AND c < 90")
+def index_read(s, d):
+    return _committed(s, d, index=True).read_index("by_c", (F.col("c") >= 40) & (F.col("c") < 90))
+
+
+# -- definitions --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT COUNT(*) AS n, COUNT(*) AS keys, TRUE AS above FROM li")
+def hidden_key(s, d):
+    rows = ddl.with_hidden_key(scan(s, d, "lineitem").select("l_orderkey"), watermark=41)
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("hidden_key").alias("keys"), (F.min("hidden_key") > 41).alias("above"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'decimal(20,0)', FALSE), ('b', 'decimal(15,2)', TRUE), ('c', 'string', TRUE), ('d', 'timestamp_ntz', TRUE), ('e', 'binary', TRUE)) t(name, kind, nullable)")
+def create_table(s, d):
+    table = ddl.Definition("t", {"a": "BIGINT UNSIGNED", "b": "DECIMAL(15,2)", "c": "VARCHAR(32)", "d": "DATETIME", "e": "VARBINARY(16)"}, key=["a"])
+    return s.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in table.schema()], "name string, kind string, nullable boolean")
+
+
+@query("SELECT n_regionkey, COUNT(*) AS n FROM nat GROUP BY n_regionkey")
+def load_and_view(s, d):
+    tables = ddl.Catalog(s)
+    tables.create(ddl.Definition("loaded_nation", {"n_nationkey": "INT", "n_name": "VARCHAR(25)", "n_regionkey": "INT"}, key=["n_nationkey"]))
+    tables.load("loaded_nation", scan(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+    s.sql("CREATE OR REPLACE TEMPORARY VIEW nations_by_region AS SELECT n_regionkey, COUNT(*) AS n FROM loaded_nation GROUP BY n_regionkey")
+    return s.table("nations_by_region")
+
+
 # -- windows and set operations -----------------------------------------------------------------------------------
 
 

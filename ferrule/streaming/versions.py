@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PUT, DELETE = "put", "del"
+#: The newest version of a key on its way through a plan.
+_V = "__newest"
 
 
 class Conflict(RuntimeError):
@@ -33,8 +35,8 @@ def snapshot(log: DataFrame, key: Sequence[str], epoch: int | None = None, order
     """
     seen = log if epoch is None else log.where(F.col("epoch") <= epoch)
     values = [c for c in log.columns if c not in (*key, *order, "op")]
-    newest = seen.groupBy(*key).agg(F.max_by(F.struct("op", *values), F.struct(*order)).alias("v"))
-    return newest.where(F.col("v.op") == PUT).select(*key, *[F.col(f"v.{c}").alias(c) for c in values])
+    newest = seen.groupBy(*key).agg(F.max_by(F.struct("op", *values), F.struct(*order)).alias(_V))
+    return newest.where(F.col(f"{_V}.op") == PUT).select(*key, *[F.col(f"{_V}.{c}").alias(c) for c in values])
 
 
 def own_writes(base: DataFrame, pending: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -42,8 +44,8 @@ def own_writes(base: DataFrame, pending: DataFrame, key: Sequence[str]) -> DataF
     values = [c for c in base.columns if c not in key]
     committed = base.select(*key, *values, F.lit(-1).cast("long").alias("tid"), F.lit(PUT).alias("op"))
     both = committed.unionByName(pending.select(*key, *values, F.col("tid").cast("long").alias("tid"), "op"))
-    newest = both.groupBy(*key).agg(F.max_by(F.struct("op", *values), "tid").alias("v"))
-    return newest.where(F.col("v.op") == PUT).select(*key, *[F.col(f"v.{c}").alias(c) for c in values])
+    newest = both.groupBy(*key).agg(F.max_by(F.struct("op", *values), "tid").alias(_V))
+    return newest.where(F.col(f"{_V}.op") == PUT).select(*key, *[F.col(f"{_V}.{c}").alias(c) for c in values])
 
 
 def unique_violations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -79,15 +81,15 @@ def duplicate_keys(base: DataFrame, rows: DataFrame, key: Sequence[str]) -> Data
 def insert_ignored(base: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """What an insert that skips duplicates adds: of each new key the first row by ``order``."""
     values = _values(rows, key, order)
-    first = rows.groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(*order, *values)).alias("v"))
-    return first.select(*key, *[F.col(f"v.{c}").alias(c) for c in values]).join(base.select(*key), list(key), "left_anti")
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(*order, *values)).alias(_V))
+    return first.select(*key, *[F.col(f"{_V}.{c}").alias(c) for c in values]).join(base.select(*key), list(key), "left_anti")
 
 
 def replaced(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """What a replace puts: of each key the last row by ``order``."""
     values = _values(rows, key, order)
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order, *values)).alias("v"))
-    return last.select(*key, *[F.col(f"v.{c}").alias(c) for c in values])
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order, *values)).alias(_V))
+    return last.select(*key, *[F.col(f"{_V}.{c}").alias(c) for c in values])
 
 
 def upserted(base: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str], change: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
@@ -109,8 +111,8 @@ def upserted(base: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequen
         changed = change(have, new)
         return F.struct(*[changed.get(c, have[c]).cast(kinds[c]).alias(c) for c in values])
 
-    out = both.select(*key, F.aggregate(more, start, fold).alias("v"))
-    return out.select(*key, *[F.col(f"v.{c}").alias(c) for c in values])
+    out = both.select(*key, F.aggregate(more, start, fold).alias(_V))
+    return out.select(*key, *[F.col(f"{_V}.{c}").alias(c) for c in values])
 
 
 @dataclass
@@ -133,6 +135,8 @@ class ChangeLog:
     def __init__(self, spark: SparkSession, path: str, key: dict[str, str], values: dict[str, str], unique: Sequence[Sequence[str]] = ()):
         self.spark, self.path, self.key, self.unique = spark, path.rstrip("/"), list(key), unique
         self.values = list(values)
+        self.kinds = {**key, **values}
+        self.indexes: dict[str, tuple[list[str], ChangeLog]] = {}
         self.schema = "epoch long, tid long, op string, " + ", ".join(f"{c} {t}" for c, t in {**key, **values}.items())
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -165,8 +169,8 @@ class ChangeLog:
 
     def versions(self, keys: DataFrame | None = None, epoch: int | None = None) -> DataFrame:
         """Live keys, of ``keys`` if given, with the tid that wrote them."""
-        rows = self._of(keys, epoch).groupBy(*self.key).agg(F.max_by(F.struct("op", "tid"), F.struct("epoch", "tid")).alias("v"))
-        return rows.where(F.col("v.op") == PUT).select(*self.key, F.col("v.tid").alias("tid"))
+        rows = self._of(keys, epoch).groupBy(*self.key).agg(F.max_by(F.struct("op", "tid"), F.struct("epoch", "tid")).alias(_V))
+        return rows.where(F.col(f"{_V}.op") == PUT).select(*self.key, F.col(f"{_V}.tid").alias("tid"))
 
     def begin(self) -> Transaction:
         return Transaction(self.epoch())
@@ -241,19 +245,55 @@ class ChangeLog:
         p = self.pending(t)
         if p is None:
             return self.epoch()
-        newest = p.groupBy(*self.key).agg(F.max_by(F.struct("op", *self.values), "tid").alias("v"))
-        puts = newest.where(F.col("v.op") == PUT).select(*self.key, *[F.col(f"v.{c}").alias(c) for c in self.values])
+        newest = p.groupBy(*self.key).agg(F.max_by(F.struct("op", *self.values), "tid").alias(_V))
+        puts = newest.where(F.col(f"{_V}.op") == PUT).select(*self.key, *[F.col(f"{_V}.{c}").alias(c) for c in self.values])
         for u in self.unique:
             # only rows whose values are written can clash with them
             state = self.read().join(newest.select(*self.key), self.key, "left_anti").unionByName(puts)
             if not unique_violations(state.join(puts.select(*u).distinct(), list(u), "left_semi"), u).isEmpty():
                 raise DuplicateKey(", ".join(u))
         rows = newest.select(
-            F.lit(epoch).cast("long").alias("epoch"), F.lit(epoch).cast("long").alias("tid"), F.col("v.op").alias("op"), *self.key, *[F.col(f"v.{c}").alias(c) for c in self.values]
+            F.lit(epoch).cast("long").alias("epoch"), F.lit(epoch).cast("long").alias("tid"), F.col(f"{_V}.op").alias("op"), *self.key, *[F.col(f"{_V}.{c}").alias(c) for c in self.values]
         )
+        # entries come before the rows that they name and go after them: readers find too many at most
+        moved = {} if not self.indexes else {n: self._entries_moved(n, newest, puts) for n in self.indexes}
+        for n, (new, _) in moved.items():
+            self.indexes[n][1]._append(new, PUT)
         self._publish(rows, f"epoch-{epoch:020d}")
+        for n, (_, old) in moved.items():
+            self.indexes[n][1]._append(old, DELETE)
         return epoch
 
+    def _append(self, keys: DataFrame, op: str) -> None:
+        """Unconditional puts or deletes of keys without values."""
+        epoch = self.epoch() + 1
+        marks = [F.lit(epoch).cast("long").alias("epoch"), F.lit(epoch).cast("long").alias("tid"), F.lit(op).alias("op")]
+        self._publish(keys.select(*marks, *self.key), f"epoch-{epoch:020d}")
+
+    def _entries_moved(self, name: str, newest: DataFrame, puts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Index entries that a commit makes, and those that it ends."""
+        columns = self.indexes[name][0]
+        old = snapshot(self._of(newest), self.key).select(*columns, *self.key)
+        new = puts.select(*columns, *self.key)
+        return new.exceptAll(old), old.exceptAll(new)
+
+    def add_index(self, name: str, columns: Sequence[str]) -> None:
+        """A secondary index, as a log of (columns, key) of its own; filled from the rows that are there, kept up by commits."""
+        kinds = {c: self.kinds[c] for c in [*columns, *self.key]}
+        index = ChangeLog(self.spark, f"{self.path}/.index-{name}", kinds, {})
+        self.indexes[name] = (list(columns), index)
+        if not index.epoch():
+            index._append(self.read().select(*index.key), PUT)
+
+    def drop_index(self, name: str) -> None:
+        _, index = self.indexes.pop(name)
+        self._fs.delete(self._path(index.path), True)
+
+    def read_index(self, name: str, condition: Column) -> DataFrame:
+        """Rows whose indexed columns meet a condition: it is pushed to the index, whose keys choose the rows."""
+        entries = snapshot(self.indexes[name][1].log().where(condition), self.indexes[name][1].key)
+        return snapshot(self._of(entries), self.key).where(condition)
+
     def _publish(self, rows: DataFrame, name: str) -> None:
         """Written aside, then renamed: readers see all of it or none."""
         aside = f"{self.path}/.{uuid.uuid4().hex}"
@@ -266,8 +306,8 @@ class ChangeLog:
     def checkpoint(self) -> int:
         """Write the state of the newest epoch as a base and drop the commits below it."""
         epoch = self.epoch()
-        newest = self.log().groupBy(*self.key).agg(F.max_by(F.struct("epoch", "tid", "op", *self.values), F.struct("epoch", "tid")).alias("v"))
-        rows = newest.where(F.col("v.op") == PUT).select(F.col("v.epoch").alias("epoch"), F.col("v.tid").alias("tid"), F.col("v.op").alias("op"), *self.key, *[F.col(f"v.{c}").alias(c) for c in self.values])
+        newest = self.log().groupBy(*self.key).agg(F.max_by(F.struct("epoch", "tid", "op", *self.values), F.struct("epoch", "tid")).alias(_V))
+        rows = newest.where(F.col(f"{_V}.op") == PUT).select(F.col(f"{_V}.epoch").alias("epoch"), F.col(f"{_V}.tid").alias("tid"), F.col(f"{_V}.op").alias("op"), *self.key, *[F.col(f"{_V}.{c}").alias(c) for c in self.values])
         old = [n for e, n in self._commits().items() if e <= epoch]
         name = f"base-{epoch:020d}"
         if name in old:

@@ -124,3 +124,22 @@ def test_on_duplicate_key_update(spark, log):
     log.insert(t, frame(spark, (4, 1, "a")))  # another row has that name
     with pytest.raises(DuplicateKey):
         log.commit(t)
+
+
+def test_index_follows_commits(spark, log):
+    t = log.begin()
+    log.insert(t, frame(spark, (1, 10, "a"), (2, 20, "b"), (3, 20, "c")))
+    log.commit(t)
+    log.add_index("by_v", ["v"])
+    from pyspark.sql import functions as F
+
+    at = lambda v: rows(log.read_index("by_v", F.col("v") == v))
+    assert at(20) == [(2, 20, "b"), (3, 20, "c")]
+    t = log.begin()
+    log.update(t, frame(spark, (2, 10, "b")))
+    log.delete(t, frame(spark, (3, 0, "")).select("id"))
+    log.insert(t, frame(spark, (1, 30, "a"), (4, 20, "d")), replace=True)
+    log.commit(t)
+    assert (at(10), at(20), at(30)) == ([(2, 10, "b")], [(4, 20, "d")], [(1, 30, "a")])
+    log.drop_index("by_v")
+    assert not log.indexes
