@@ -272,7 +272,7 @@ def _pack(idf: np.ndarray, mean: float, window: int, shard_tokens: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: int = 1 << 22) -> DataFrame:
     """Pieces of packed sequences of all rows of ``docs`` (doc_id, text).
 
     Returns doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens, sequence_id, offset: ids
@@ -299,5 +299,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard_tokens: in
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = ids.mapInArrow(tidy(_keyed(idf, mean, window)), "key long, doc_id long, nth long, ids binary")
     order = ("key", "doc_id", "nth")
-    dealt = keyed.repartitionByRange(min(shards, max(n, shards // 64)), *order) if shards > 1 else keyed.coalesce(1)
+    dealt = keyed.repartitionByRange(min(shards, max(4 * n, shards // 16)), *order) if shards > 1 else keyed.coalesce(1)
     return dealt.sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(tidy(_pack(idf, mean, window, shard_tokens)), _OUT)
