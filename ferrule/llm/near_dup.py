@@ -33,6 +33,8 @@ from ferrule.llm.store import drop, keep
 
 #: Bytes of text handled at once.
 CHUNK = 1 << 20
+#: A text is hot if it makes up this share of the rows, one in so many; there are at most as many such texts.
+HOT = 5000
 
 
 def bands_of(texts: list[bytes], bands: int, rows: int) -> list[np.ndarray]:
@@ -186,9 +188,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     n_parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     signed = keep(d.mapInArrow(tidy(_sign(bands, rows)), "doc_id long, k1 long, k2 long, bands array<long>"), "signed")
     known = signed.where("doc_id is not null")
-    first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    members = keep(known.select("doc_id", "k1", "k2").join(first, ["k1", "k2"]).select("doc_id", "node"), "members")
-    own = known.join(first.select("k1", "k2", "node"), ["k1", "k2"]).where("doc_id = node")
+    first = keep(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "first")
+    # texts of very many copies, at most HOT of them, go to their rows, not those rows to one task
+    cut = (first.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = F.broadcast(first.where(F.col("n") > cut).select("k1", "k2", "node"))
+    keyed, rest = known.select("doc_id", "k1", "k2"), first.where(F.col("n") <= cut).select("k1", "k2", "node")
+    some = keyed.join(hot, ["k1", "k2"]).unionByName(keyed.join(hot, ["k1", "k2"], "left_anti").join(rest, ["k1", "k2"]))
+    members = keep(some.select("doc_id", "node"), "members")
+    own = known.join(first.select("k1", "k2", F.col("node").alias("doc_id")), ["doc_id", "k1", "k2"]).withColumn("node", F.col("doc_id"))
     entries = own.select("node", F.explode("bands").alias("b")).distinct()
     entries = keep(entries.join(entries.groupBy("b").agg(F.count("*").alias("n")).where("n > 1"), "b"), "entries")
     # how full a node's buckets are, and below that a hash, so that ties fall alike everywhere
@@ -201,8 +208,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     right = texts.select(F.col("node").alias("lead"), F.col("text").alias("t2"))
     both = pairs.join(left, "node").join(right, "lead").select("node", "lead", "t1", "t2")
     compared = keep(both.mapInArrow(tidy(_compare), _COMPARED), "compared")
-    drop(texts)
-    drop(entries)
+    for table in (texts, entries, first):
+        drop(table)
     links = compared.where(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("lead").alias("b"))
 
     groups = compared.groupBy("lead").agg(
