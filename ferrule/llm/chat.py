@@ -34,20 +34,22 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256, tokens: str | None = None) -> DataFrame:
     """Windows of the conversations in ``turns`` (conv_id, turn, role, text).
 
     Returns conv_id, window_no (from 0), text, loss (array of start, length in code points of ``text``: its
     targets), n_repeated (turns that it repeats, system turn included), n_turns (its own), n_tokens.
 
-    Tokens are words and punctuation marks, plus ``TURN_TOKENS`` a turn.  A window keeps to ``budget`` unless
+    Tokens are those that the column ``tokens`` of ``turns`` counts (null: none), or else words and punctuation marks, plus
+    ``TURN_TOKENS`` a turn.  A window keeps to ``budget`` unless
     the system turn, or a turn alone in its window, is longer: turns are never cut.  Null text and null roles
     are empty; turns that tie keep the order of role, then text; a null turn comes first; repeated rows are
     repeated turns; the rows of a null conv_id are one conversation.  Extra columns are ignored, an empty table
     gives no windows.  A conversation of any length streams through its task; only windows are gathered.
     """
-    t = pick(turns, conv_id="long", turn="long", role="string", text="string")
-    t = t.select("conv_id", "turn", text_of(t["role"]).alias("role"), text_of(t["text"]).alias("text"))
+    size = F.coalesce(turns[f"`{tokens}`"].cast("long"), F.lit(0)) if tokens else F.lit(None).cast("long")
+    t = pick(turns.withColumn(free := "n" + "_" * max(map(len, turns.columns)), size), conv_id="long", turn="long", role="string", text="string", **{free: "long"})
+    t = t.select("conv_id", "turn", text_of(t["role"]).alias("role"), text_of(t["text"]).alias("text"), F.col(free).alias("size"))
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -55,7 +57,7 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) ->
     t = t.select(
         "conv_id", "turn", "role", "text",
         F.row_number().over(in_order).alias("pos"),
-        (F.regexp_count("text", F.lit(r"\w+|[^\w\s]")) + TURN_TOKENS).cast("long").alias("tokens"),
+        (F.coalesce("size", F.regexp_count("text", F.lit(r"\w+|[^\w\s]"))) + TURN_TOKENS).cast("long").alias("tokens"),
         F.char_length(head).alias("head_chars"),
         escape(F.col("text")).alias("body"),
         F.concat(head, escape(F.col("text")), F.lit(END)).alias("piece"),
@@ -68,9 +70,13 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 256) ->
         (F.sum(F.char_length("piece").cast("long")).over(so_far) - F.char_length("piece")).alias("char"),
         F.first(F.when(F.col("is_system"), F.struct("piece", "tokens"))).over(so_far).alias("system"),
     )
-    # half of what the repeated turns leave: a span overruns its half by its last turn at most
-    room = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce(F.col("system.tokens"), F.lit(0))) / 2))
-    t = t.withColumns({"block": F.floor(F.col("begin") / room), "alone": F.col("counted") > room})
+    # a span overruns its stretch by its last turn at most, so a stretch is what the repeated turns leave but the
+    # conversation's longest turn; a turn of more than half of it stands alone
+    left = F.lit(budget - history) - F.coalesce(F.col("system.tokens"), F.lit(0))
+    half = F.greatest(F.lit(1), F.floor(left / 2))
+    t = t.withColumns({"alone": F.col("counted") > half, "left": left, "half": half})
+    most = F.max(F.when(~F.col("alone"), F.col("counted"))).over(Window.partitionBy("conv_id"))
+    t = t.withColumn("block", F.floor(F.col("begin") / F.greatest("half", F.col("left") - F.coalesce(most, F.lit(0)))))
     before = F.lag(F.struct("block", "alone")).over(in_order)
     cut = before.isNotNull() & ((before["block"] != F.col("block")) | before["alone"] | F.col("alone"))
     # what stands before a long turn, when only the system turn does, stays with it

@@ -58,7 +58,10 @@ placed AS (
            FIRST(CASE WHEN is_system THEN tokens END) OVER o AS sys_tokens, FIRST(CASE WHEN is_system THEN chars END) OVER o AS sys_chars
     FROM marked WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
 rooms AS (SELECT *, greatest(1, floor((768 - COALESCE(sys_tokens, 0)) / 2)) AS room FROM placed),
-blocks AS (SELECT *, floor(begins / room) AS block, counted > room AS alone FROM rooms),
+stretches AS (
+    SELECT *, counted > room AS alone, greatest(room, 768 - COALESCE(sys_tokens, 0) - COALESCE(MAX(CASE WHEN counted <= room THEN counted END) OVER (PARTITION BY conv_id), 0)) AS stretch
+    FROM rooms),
+blocks AS (SELECT *, floor(begins / stretch) AS block FROM stretches),
 cuts AS (
     SELECT *, CASE WHEN LAG(block) OVER o IS NOT NULL AND (LAG(block) OVER o <> block OR LAG(alone) OVER o OR alone) AND NOT LAG(is_system, 1, FALSE) OVER o THEN 1 ELSE 0 END AS cut,
            COALESCE(SUM(CASE WHEN is_system THEN 0 ELSE chars END) OVER (PARTITION BY conv_id ORDER BY begins RANGE BETWEEN 256 PRECEDING AND 1 PRECEDING), 0) AS past

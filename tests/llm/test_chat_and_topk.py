@@ -51,6 +51,19 @@ def test_windows(spark):
     assert [s for r in rows for s in r.loss] and sum(len(r.loss) for r in rows) == 14
 
 
+def test_windows_are_full(spark):
+    """Windows of ordinary turns hold most of their budget; counts may come from a column."""
+    rng = np.random.default_rng(4)
+    turns = [(c, i, "user" if i % 2 else "assistant", "w " * int(rng.integers(10, 60)), int(rng.integers(10, 60))) for c in range(4) for i in range(200)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, n int")
+    for tokens in (None, "n"):
+        rows = chat.format_windows(df, 1024, 256, tokens).collect()
+        last = {c: max(r.window_no for r in rows if r.conv_id == c) for c in range(4)}
+        sizes = [r.n_tokens for r in rows if 0 < r.window_no < last[r.conv_id]]
+        assert max(sizes) <= 1024 and np.mean(sizes) > 0.85 * 1024
+        assert sum(r.n_turns for r in rows) == 800
+
+
 def test_native(spark, sf_dir):
     plan = chat.digest(chat.format_windows(table(spark, sf_dir, "conversations")))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
