@@ -44,7 +44,14 @@ def equi_height(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("w"))
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = counts.agg(F.percentile_approx("value", [i / n for i in range(1, n)], 10_000).alias("cuts")) if n > 1 else None
-    part = counts.withColumn("part", F.lit(0)) if cuts is None else counts.join(F.broadcast(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    if cuts is None:
+        part = counts.withColumn("part", F.lit(0))
+    else:  # in two steps of about the root of their number
+        step = max(1, round(n**0.5))
+        cuts = cuts.select("cuts", F.filter("cuts", lambda c, i: (i + 1) % step == 0).alias("coarse"))
+        below = lambda c: c < F.col("value")
+        part = counts.join(F.broadcast(cuts)).withColumn("base", F.size(F.filter("coarse", below)) * step)
+        part = part.withColumn("part", F.col("base") + F.size(F.filter(F.slice("cuts", F.col("base") + 1, F.lit(step)), below))).drop("cuts", "coarse", "base")
     sums = part.groupBy("part").agg(F.sum("w").alias("in_part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sums = sums.select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("base"), F.sum("in_part").over(Window.partitionBy()).alias("total"))
