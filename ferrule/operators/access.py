@@ -114,6 +114,12 @@ def parallel_range(df: DataFrame, key: str, start: int, end: int, parts: int) ->
     return reduce(DataFrame.unionAll, scans) if scans else df.limit(0)
 
 
+def next_same(df: DataFrame, index: Sequence[str], key: Sequence[str], at: Sequence) -> DataFrame:
+    """The row after a cursor that stands at (index values, key), among those of the same index values."""
+    same = df.where(_equal(index, at[: len(index)])).where(_beyond(key, at[len(index) :], up=True, inclusive=False))
+    return _sorted(same, key, False).limit(1)
+
+
 def reread(ids: DataFrame, df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Full rows of remembered keys, once for each."""
     return ids.select(*key).join(df, list(key))

@@ -109,6 +109,21 @@ def unique_point(s, d):
     return access.point(typed(s, d, "cust"), ["c_name"], ["Customer#000000042"])
 
 
+@query("SELECT o_custkey, o_orderkey FROM ord ORDER BY o_custkey, o_orderkey LIMIT 1")
+def cursor_first(s, d):
+    return access.first(scan(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"])
+
+
+@query("SELECT o_custkey, o_orderkey FROM ord ORDER BY o_custkey DESC, o_orderkey DESC LIMIT 1")
+def cursor_last(s, d):
+    return access.tail(scan(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"])
+
+
+@query("SELECT o_custkey, o_orderkey FROM ord WHERE o_custkey = 20 AND o_orderkey > 40 ORDER BY o_orderkey LIMIT 1")
+def cursor_next_same(s, d):
+    return access.next_same(scan(s, d, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"], [20, 40])
+
+
 @query("SELECT o_orderkey, o_custkey FROM ord WHERE o_orderkey >= 100 AND o_orderkey < 9000")
 def parallel_range_scan(s, d):
     return access.parallel_range(scan(s, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, 9000, 7)
@@ -390,6 +405,15 @@ shared("grouping_sets", "SELECT l_returnflag, l_linestatus, GROUPING(l_returnfla
 # a mean of distinct values with six digits, half up
 shared("avg_distinct", "SELECT l_returnflag, CAST(FLOOR(CAST(SUM(DISTINCT l_quantity) AS DECIMAL(20,2)) * 1000000 / COUNT(DISTINCT l_quantity) + 0.5) AS BIGINT) AS mean_e6 FROM li GROUP BY l_returnflag")
 shared("bit_aggregates", "SELECT o_orderstatus, BIT_AND(o_custkey) AS a, BIT_OR(o_custkey) AS o, BIT_XOR(o_custkey) AS x FROM ord GROUP BY o_orderstatus")
+# variance from whole sums, so that no order of rows shows
+shared("variance_exact", "SELECT l_returnflag, CAST(FLOOR((CAST(COUNT(*) AS DECIMAL(12,0)) * SUM(CAST(l_linenumber * l_linenumber AS DECIMAL(8,0))) - CAST(SUM(l_linenumber) AS DECIMAL(14,0)) * CAST(SUM(l_linenumber) AS DECIMAL(14,0))) / COUNT(*)) AS BIGINT) AS n_times_var FROM li GROUP BY l_returnflag")
+
+
+@query("SELECT n_regionkey, STRING_AGG(n_name, ',' ORDER BY n_name) AS names FROM nat GROUP BY n_regionkey")
+def group_concat(s, d):
+    return typed(s, d, "nat").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
+
+
 shared("cube", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM li GROUP BY CUBE (l_returnflag, l_linestatus)")
 
 # -- order and limits ---------------------------------------------------------------------------------------------
@@ -698,6 +722,16 @@ def index_read(s, d):
     return _committed(s, d, index=True).read_index("by_c", (F.col("c") >= 40) & (F.col("c") < 90))
 
 
+# only a change of the columns that were read is a conflict: epochs 5 and 7 of the log, and the type of event alone
+_VALUES = "(SELECT k, tid, v FROM (SELECT k, tid, v, op, ROW_NUMBER() OVER (PARTITION BY k ORDER BY epoch DESC, tid DESC) AS r FROM {log} l WHERE epoch <= {at}) x WHERE r = 1 AND op = 'put')"
+
+
+@query(f"SELECT a.k FROM {_VALUES.format(log=_LOG, at=5)} a LEFT JOIN {_VALUES.format(log=_LOG, at=7)} b ON a.k = b.k WHERE b.k IS NULL OR a.v IS DISTINCT FROM b.v")
+def column_read_validation(s, d):
+    at = lambda epoch: versions.snapshot(_log(s, d), ["k"], epoch)
+    return versions.changed_columns(at(5), at(7), ["k"], ["v"])
+
+
 # -- definitions --------------------------------------------------------------------------------------------------
 
 

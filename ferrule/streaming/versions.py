@@ -115,6 +115,13 @@ def upserted(base: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequen
     return out.select(*key, *[F.col(f"{_V}.{c}").alias(c) for c in values])
 
 
+def changed_columns(reads: DataFrame, current: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Point reads of some columns (key, columns) that are no longer true; a change of other columns is no conflict."""
+    now = current.select(*key, F.struct(*columns).alias("__now"))
+    same = F.col("__now").isNotNull() & F.struct(*columns).eqNullSafe(F.col("__now"))
+    return reads.join(now, list(key), "left").where(~same).select(*key)
+
+
 @dataclass
 class Transaction:
     """Reads and writes to be committed together."""
