@@ -153,6 +153,11 @@ class Merges:
         return out, out_sizes
 
 
+def _one(text: np.ndarray) -> pa.Array:
+    """An array of one text, over its bytes."""
+    return pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int64)), pa.py_buffer(np.ascontiguousarray(text))])
+
+
 class WordTokens:
     """Encodes texts as arrays of 16-bit ids."""
 
@@ -319,6 +324,19 @@ class WordTokens:
         text_ends = total[upto + np.arange(1, len(upto) + 1)]
         return pool[ranges(at[order], sizes)], np.diff(text_ends, prepend=0)
 
+    @staticmethod
+    def _spaces(data: np.ndarray) -> list[int]:
+        """Where to cut a long text: at spaces about a chunk apart, as far as there are any."""
+        cuts = [0]
+        while cuts[-1] + CHUNK < len(data):
+            at = cuts[-1] + CHUNK
+            while at < len(data) and not len(found := np.flatnonzero(_SPACES[data[at : at + CHUNK]])):
+                at += CHUNK
+            if at >= len(data):
+                break
+            cuts.append(at + int(found[0]))
+        return [*cuts, len(data)]
+
     def encode_array(self, texts: pa.Array, close: tuple[int, ...] = ()) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(slice, ids, sizes) over an array of texts without nulls: the 16-bit ids of some texts, each with ``close``
         after it, and how many each text has."""
@@ -331,6 +349,11 @@ class WordTokens:
         for part in in_chunks(np.diff(bounds).tolist(), CHUNK):
             cuts = bounds[part.start : part.stop + 1]
             some = data[cuts[0] : cuts[-1]]
+            if len(some) > 2 * CHUNK and len(at := self._spaces(some)) > 2:  # one long text: words are whole on both sides of a space
+                found = [ids for a, b in zip(at[:-1], at[1:]) for _, ids, _ in self.encode_array(_one(some[a:b]))]
+                ids = np.concatenate([*found, end])
+                yield part, ids, np.array([len(ids)], np.int64)
+                continue
             marked = np.flatnonzero((some >= _ODD[0]) & (some <= _ODD[1]))
             cuts = cuts - cuts[0]
             if not len(marked):

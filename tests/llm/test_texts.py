@@ -160,6 +160,15 @@ def test_word_tokens_of_all_planes():
         assert np.frombuffer(ids, np.uint16).tolist() == e.ids, ascii(x[:50])
 
 
+def test_word_tokens_of_long_texts(monkeypatch):
+    rng = random.Random(6)
+    text = "".join(rng.choice(["word", " ", "\n", "Other,", "\x1c", "é", "x" * 90, "\u3000", "it's "]) for _ in range(4000))
+    w = word_tokens.WordTokens(vocabulary("word_bpe_49k.json"))
+    monkeypatch.setattr(word_tokens, "CHUNK", 500)
+    for x in (text, text.replace(" ", "").replace("\n", ""), "y" * 3000):
+        assert np.frombuffer(w.encode([x])[0], np.uint16).tolist() == w.library.encode(x, add_special_tokens=False).ids
+
+
 def test_packing_puts_neighbours_together():
     rng = np.random.default_rng(1)
     topics = [rng.choice(1000, 40, replace=False) + 1000 * k for k in range(4)]
