@@ -129,6 +129,8 @@ class Transaction:
     begun: int
     writes: list[DataFrame] = field(default_factory=list)
     reads: list[DataFrame] = field(default_factory=list)
+    #: Versions that inserts of this transaction met; they can only have changed if somebody has committed since.
+    met: list[DataFrame] = field(default_factory=list)
     ranges: list[tuple] = field(default_factory=list)
 
 
@@ -211,7 +213,7 @@ class ChangeLog:
             if not duplicate_keys(there, rows, self.key).isEmpty():
                 raise DuplicateKey("the key exists")
             new = rows
-        t.reads.append(keys.join(self.versions(keys, t.begun), self.key, "left").select(*self.key, "tid"))
+        t.met.append(keys.join(self.versions(keys, t.begun), self.key, "left").select(*self.key, "tid"))
         t.writes.append(new.select(*self.key, *self.values).withColumn("op", F.lit(PUT)))
 
     def update(self, t: Transaction, rows: DataFrame, old_keys: DataFrame | None = None) -> None:
@@ -242,13 +244,12 @@ class ChangeLog:
     def commit(self, t: Transaction) -> int:
         """Validate and append; the new epoch.  Raises ``Conflict`` or ``DuplicateKey`` and writes nothing then."""
         epoch = self.epoch() + 1
-        if epoch > t.begun + 1:  # somebody has committed since
-            for r in t.reads:
-                if not changed_reads(r, self.versions(r), self.key).isEmpty():
-                    raise Conflict("a row that was read has changed")
-            for seen, condition in t.ranges:
-                if not changed_range(seen, self.versions().where(condition), self.key).isEmpty():
-                    raise Conflict("a range that was read has changed")
+        for r in [*t.reads, *(t.met if epoch > t.begun + 1 else ())]:
+            if not changed_reads(r, self.versions(r), self.key).isEmpty():
+                raise Conflict("a row that was read has changed")
+        for seen, condition in t.ranges:
+            if not changed_range(seen, self.versions().where(condition), self.key).isEmpty():
+                raise Conflict("a range that was read has changed")
         p = self.pending(t)
         if p is None:
             return self.epoch()
