@@ -48,3 +48,26 @@ def test_quantified_comparisons_are_three_valued(spark):
     every = relational.quantified(left, "x", ">", right, "y", "a", all_of=True, on=("g", "k"))
     some = relational.quantified(every, "x", ">", right, "y", "b", all_of=False, on=("g", "k"))
     assert sorted(map(tuple, some.collect()), key=str) == sorted([(1, 5, False, True), (1, None, None, None), (2, 5, None, None), (3, 5, None, True), (4, 5, True, False)], key=str)
+
+
+@pytest.mark.parametrize(
+    "keys",
+    [
+        [(1, 1), (1, 1), (1, 2), (2, 1), (3, 1)],  # 5 / 3 and 5 / 4: cut, not rounded
+        [(1, 1), (1, None), (None, 1), (None, None), (None, None), (2, 1), (3, 1), (3, 1)],  # nulls are values of longer prefixes only
+    ],
+)
+def test_records_per_key_are_cut_and_count_nulls_as_sql(spark, sf_dir, tmp_path, keys):
+    values = ", ".join(f"({k}, {n})" for k, n in keys).replace("None", "NULL")
+    row = f"(SELECT * FROM '{sf_dir}/lineitem.parquet' LIMIT 1)"
+    columns = "* EXCLUDE (k, n) REPLACE (CAST(k AS BIGINT) AS l_orderkey, CAST(n AS INTEGER) AS l_linenumber)"
+    oracle.duckdb.sql(f"COPY (SELECT {columns} FROM {row} l, (VALUES {values}) v(k, n)) TO '{tmp_path}/lineitem.parquet' (FORMAT PARQUET)")
+    con = oracle.connect(str(tmp_path))
+    for name in ("rec_per_key", "ndv_prefix"):
+        ok, said = oracle.same(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLE[name])
+        assert ok, f"{name}: {said}"
+
+
+def test_records_per_key_of_no_rows(spark, sf_dir, tmp_path):
+    oracle.duckdb.sql(f"COPY (SELECT * FROM '{sf_dir}/lineitem.parquet' LIMIT 0) TO '{tmp_path}/lineitem.parquet' (FORMAT PARQUET)")
+    assert sorted(map(tuple, catalog.QUERIES["rec_per_key"](spark, str(tmp_path)).collect())) == [(1, None), (2, None)]
